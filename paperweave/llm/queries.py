@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
 from .canonical import copies, copy_groups
+from .match import match
 from .mix import mix
 from .split import oversized, split_texts
 from .tokens import round_trip, token_ids
@@ -21,6 +22,19 @@ def p2_groups(spark: SparkSession, root: str) -> DataFrame:
     return copy_groups(table(spark, root, "paper_feed", "record_id", "body"))
 
 
+def _p3(spark: SparkSession, root: str) -> DataFrame:
+    detail = table(spark, root, "paper_detail", "paper_id", "title", "year", "external_ids", "fetched_at")
+    return match(detail, table(spark, root, "publication", "element_id", "title", "year", "doi", "dblp_key"))
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return _p3(spark, root).select("paper_id", "element_id")
+
+
+def p3_matches(spark: SparkSession, root: str) -> DataFrame:
+    return _p3(spark, root)
+
+
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return token_ids(table(spark, root, "documents", "doc_id", "text"))
 
@@ -46,7 +60,7 @@ def p9_pieces(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_groups, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_matches, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
