@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def sketch_candidates(df: DataFrame, key: Column, share: float) -> DataFrame:
     """Column ``key``: a superset of the keys holding at least ``share`` of the rows of ``df``, at most ``3/share``.
@@ -64,8 +66,8 @@ def skew_join(
 ) -> DataFrame:
     """``big`` joined to ``small`` on ``on`` (inner or left), without a task that gets a whole heavy key.
 
-    ``heavy`` (column ``on``): the heavy keys of ``big``; found by ``sketch_candidates`` if not given, so at most
-    ``3/share``. ``unique``: ``small`` has one row per key; its heavy rows are then at most that many and broadcast.
+    ``heavy`` (column ``on``): the heavy keys of ``big``, which must come out the same each time; found by
+    ``sketch_candidates`` and written down if not given, so at most ``3/share``. ``unique``: ``small`` has one row per key; its heavy rows are then at most that many and broadcast.
     Otherwise the heavy rows of ``big`` get a salt and those of ``small`` are repeated per salt, so that any number of
     rows on either side is spread over ``salts`` tasks per key. All other keys hold less than ``share`` of the rows and
     go through one ordinary shuffle join. Null keys match nothing (a left join keeps their rows). Column names other
@@ -78,7 +80,8 @@ def skew_join(
         raise ValueError(f"columns on both sides: {sorted(clash)}")
     tag = f"_h{uuid.uuid4().hex[:8]}"
     if heavy is None:
-        heavy = sketch_candidates(big, F.col(on), share).withColumnRenamed("key", on)
+        # both branches must see the same keys, and a sketch may come out differently when it is computed again
+        heavy = cut(sketch_candidates(big, F.col(on), share).withColumnRenamed("key", on))
     heavy = heavy.select(on).distinct().withColumn(tag, F.lit(True))
     marked = big.join(F.broadcast(heavy), on, "left")
     light = marked.where(F.col(tag).isNull()).drop(tag).join(small, on, how)
