@@ -10,6 +10,7 @@ from ..sources.tables import table
 from .canonical import copies, copy_groups
 from .match import match
 from .mix import mix
+from .names import link_names, name_pairs
 from .split import oversized, split_texts
 from .tokens import round_trip, token_ids
 
@@ -35,6 +36,15 @@ def p3_matches(spark: SparkSession, root: str) -> DataFrame:
     return _p3(spark, root)
 
 
+def p4_entities(spark: SparkSession, root: str) -> DataFrame:
+    profiles = table(spark, root, "author_profile", "author_id", "name", "homepage", "affiliations", "dblp_name")
+    return link_names(profiles, table(spark, root, "given_name_form"))
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return name_pairs(p4_entities(spark, root))
+
+
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return token_ids(table(spark, root, "documents", "doc_id", "text"))
 
@@ -60,7 +70,7 @@ def p9_pieces(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_matches, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_matches, p4_found, p4_entities, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
