@@ -128,14 +128,14 @@ def places(affiliations: list | None, homepage: str | None) -> list[str]:
 _READ = T.StructType(
     [T.StructField("author_id", T.StringType())]
     + [T.StructField(c, T.StringType()) for c in ("family", "given", "middle", "shape", "number", "other")]
-    + [T.StructField("sure", T.BooleanType()), T.StructField("places", T.ArrayType(T.StringType()))]
+    + [T.StructField("sure", T.BooleanType()), T.StructField("plain", T.BooleanType()), T.StructField("places", T.ArrayType(T.StringType()))]
 )
 
 
 def read_profiles(profiles: DataFrame) -> DataFrame:
     """Parsed names and institutions. The fullest name of ``dblp_name`` goes before ``name``; ``number`` is its suffix.
 
-    ``other`` is the family name if a plain two-word name is the other way round. Null ids are left out; a null name
+    ``plain``: a full name stands there without number, that is, nobody else there has it. ``other`` is the family name if a plain two-word name is the other way round. Null ids are left out; a null name
     without other names gives a record of shape ``none``.
     """
 
@@ -154,11 +154,12 @@ def read_profiles(profiles: DataFrame) -> DataFrame:
                         mid = first[2]
                 else:
                     fam, giv, mid, shape, sure = first
+                plain = best is not None and best[3] == "full" and number is None
                 other = giv if shape == "full" and not sure else None
-                for c, x in zip(cols, (r["author_id"], fam, giv, mid, shape, number, other, sure, places(r["affiliations"], r["homepage"]))):
+                for c, x in zip(cols, (r["author_id"], fam, giv, mid, shape, number, other, sure, plain, places(r["affiliations"], r["homepage"]))):
                     c.append(x)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.list_(pa.string()) if f.name == "places" else pa.bool_() if f.name == "sure" else pa.string()) for c, f in zip(cols, _READ)], names=_READ.names
+                [pa.array(c, pa.list_(pa.string()) if f.name == "places" else pa.bool_() if f.name in ("sure", "plain") else pa.string()) for c, f in zip(cols, _READ)], names=_READ.names
             )
 
     return profiles.where("author_id is not null").select("author_id", "name", "homepage", "affiliations", "dblp_name").mapInArrow(run, _READ)
@@ -283,8 +284,8 @@ def _oriented(read: DataFrame) -> DataFrame:
         (F.coalesce("f_family", F.lit(0)) < 0) & (F.coalesce("f_given", F.lit(0)) >= 0)
     )
     family, given = F.when(turn, F.col("given")).otherwise(F.col("family")), F.when(turn, F.col("family")).otherwise(F.col("given"))
-    turned = b.select("author_id", family.alias("family"), given.alias("given"), "middle", "shape", "number", "places")
-    return read.where("sure or shape <> 'full'").select("author_id", "family", "given", "middle", "shape", "number", "places").unionByName(turned)
+    turned = b.select("author_id", family.alias("family"), given.alias("given"), "middle", "shape", "number", "plain", "places")
+    return read.where("sure or shape <> 'full'").select("author_id", "family", "given", "middle", "shape", "number", "plain", "places").unionByName(turned)
 
 
 def _uncrowded(rows: DataFrame, key: list[str], star: str = "star") -> DataFrame:
@@ -296,7 +297,8 @@ def link_names(profiles: DataFrame, short_forms: DataFrame) -> DataFrame:
     """``author_id``, ``entity``: ids of the same person or group share the entity (the least id among its star's).
 
     Records alike in name, middle initial, number and institutions are one profile, handled once. Rounds, each by
-    equi-joins on the family name: (1) full names with an institution or number form stars, joined over shared ones;
+    equi-joins on the family name: (1) full names with an institution or number form stars, joined over shared ones (a name that any record gives in
+    full and without number is one person's altogether);
     (2) full names without evidence join the only star of their name, or the one that holds two thirds of it;
     (3) short forms and initials join by institution; (4) what has none joins if only one star fits; (5) what is left
     forms stars of its own by name and institution. Short forms come from ``short_forms``
@@ -316,12 +318,12 @@ def link_names(profiles: DataFrame, short_forms: DataFrame) -> DataFrame:
     # classes of records that say the same
     said = F.xxhash64("family", "given", F.coalesce("middle", F.lit("")), F.coalesce("number", F.lit("")), "shape", F.coalesce("places", F.array().cast("array<string>")))
     whole = cut(whole.withColumn("profile", F.when(F.col("shape") == "none", F.xxhash64("author_id")).otherwise(said)))
-    profile = whole.groupBy("profile").agg(*(F.first(c).alias(c) for c in ("family", "given", "middle", "number", "shape", "places")), F.count(F.lit(1)).alias("n"))
+    profile = whole.groupBy("profile").agg(*(F.first(c).alias(c) for c in ("family", "given", "middle", "number", "shape", "places")), F.max("plain").alias("plain"), F.count(F.lit(1)).alias("n"))
     profile = cut(profile.withColumn("initial", F.substring("given", 1, 1)))
 
     told = short_forms.select(F.lower("short_form").alias("s"), F.lower("given_name").alias("g"))
     # the table is incomplete: a short name that longer names begin with may be short for them
-    longer = given.where("length(word) > 4 and n > 1").select(F.col("word").alias("g"), F.explode(F.transform(F.sequence(F.lit(3), F.lit(4)), lambda k: F.substring("word", F.lit(1), k))).alias("s"))
+    longer = given.where("length(word) > 5 and n > 1").select(F.col("word").alias("g"), F.explode(F.transform(F.sequence(F.lit(3), F.lit(5)), lambda k: F.substring("word", F.lit(1), k))).alias("s"))
     shorts = cut(told.unionByName(longer.join(given.select(F.col("word").alias("s")), "s").select("s", "g")).where("s <> g").distinct())
     can = shorts.select(F.col("s").alias("given")).distinct().withColumn("is_short", F.lit(True))
     p = skew_join(profile, can, "given", "left", unique=True).withColumn("is_short", F.coalesce("is_short", F.lit(False)))
@@ -334,8 +336,12 @@ def link_names(profiles: DataFrame, short_forms: DataFrame) -> DataFrame:
 
     # (1)
     key = ["family", "given"]
-    seeds = _evidence_stars(solid.where("size(places) > 0 or number is not null"), key)
-    loose = solid.where("size(places) = 0 and number is null")
+    # a name that stands somewhere without a number is one person's
+    only = solid.groupBy(*key).agg(F.max("plain").alias("only")).where("only")
+    solid = cut(solid.join(only, key, "left").withColumn("only", F.coalesce("only", F.lit(False))))
+    has = "size(places) > 0 or number is not null or only"
+    seeds = _evidence_stars(solid.where(has), key)
+    loose = solid.where(f"not ({has})")
     # (2)
     members = _join_only(loose, seeds, key)
     rest = loose.join(members.select("profile"), "profile", "left_anti")
@@ -362,6 +368,8 @@ def _evidence_stars(rows: DataFrame, key: list[str]) -> DataFrame:
     three rounds.
     """
     proof = F.array_union(F.coalesce("places", F.array().cast("array<string>")), F.when(F.col("number").isNotNull(), F.array("number")).otherwise(F.array().cast("array<string>")))
+    if "only" in rows.columns:  # one person's name: it is evidence itself
+        proof = F.when(F.col("only"), F.array_union(proof, F.array(F.lit("=")))).otherwise(proof)
     rows = cut(rows.withColumn("proof", proof))
     edge = cut(rows.select("profile", F.explode("proof").alias("e"), *key).select("profile", F.xxhash64("e", *key).alias("k")))
     label = rows.select("profile", F.col("profile").alias("star"))
