@@ -5,6 +5,9 @@ is told from how its words are used elsewhere. Misspelt names are found by MinHa
 number of bands tuned from the collision curve, verified by Monge-Elkan similarity, and attached to the most frequent
 spelling (star clustering). Records are then attached to stars again: a star is a person, told from others of the same
 name by institution; full names, short forms and initials join it by equi-keys only, so no pairs within a name are made.
+
+The joins are of distinct profiles and spellings; a family name that holds a third of them is split by the adaptive skew
+join, and all per-name choices (the only star, the least label) are aggregates combined map-side.
 """
 
 from __future__ import annotations
@@ -20,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.skew import skew_join
 from ..session import cut
 
 #: Q-gram length and recall wanted of the banding.
@@ -266,7 +268,7 @@ def spelling_stars(spellings: DataFrame, rows: int, least: float, ratio: int = 2
 
 def _respell(df: DataFrame, column: str, stars: DataFrame) -> DataFrame:
     named = stars.select(F.col("word").alias(column), F.col("star").alias("_star"))
-    return skew_join(df, named, column, "left", unique=True).withColumn(column, F.coalesce("_star", column)).drop("_star")
+    return df.join(named, column, "left").withColumn(column, F.coalesce("_star", column)).drop("_star")
 
 
 def _oriented(read: DataFrame) -> DataFrame:
@@ -278,8 +280,8 @@ def _oriented(read: DataFrame) -> DataFrame:
     )
     used = cut(used)
     rest = read.where("not (sure or shape <> 'full')")
-    a = skew_join(rest, used.select(F.col("w").alias("family"), F.col("f").alias("f_family")), "family", "left", unique=True)
-    b = skew_join(a, used.select(F.col("w").alias("given"), F.col("f").alias("f_given")), "given", "left", unique=True)
+    a = rest.join(used.select(F.col("w").alias("family"), F.col("f").alias("f_family")), "family", "left")
+    b = a.join(used.select(F.col("w").alias("given"), F.col("f").alias("f_given")), "given", "left")
     turn = (F.coalesce("f_given", F.lit(0)) > 0) & (F.coalesce("f_given", F.lit(0)) > F.coalesce("f_family", F.lit(0))) | (
         (F.coalesce("f_family", F.lit(0)) < 0) & (F.coalesce("f_given", F.lit(0)) >= 0)
     )
@@ -326,7 +328,7 @@ def link_names(profiles: DataFrame, short_forms: DataFrame) -> DataFrame:
     longer = given.where("length(word) > 5 and n > 1").select(F.col("word").alias("g"), F.explode(F.transform(F.sequence(F.lit(3), F.lit(5)), lambda k: F.substring("word", F.lit(1), k))).alias("s"))
     shorts = cut(told.unionByName(longer.join(given.select(F.col("word").alias("s")), "s").select("s", "g")).where("s <> g").distinct())
     can = shorts.select(F.col("s").alias("given")).distinct().withColumn("is_short", F.lit(True))
-    p = skew_join(profile, can, "given", "left", unique=True).withColumn("is_short", F.coalesce("is_short", F.lit(False)))
+    p = profile.join(can, "given", "left").withColumn("is_short", F.coalesce("is_short", F.lit(False)))
     p = cut(p)
     # groups and full names that aren't short forms can be stars; a short form whose long one isn't there is one, too
     solid = p.where("shape in ('full', 'group') and not is_short")
@@ -351,14 +353,13 @@ def link_names(profiles: DataFrame, short_forms: DataFrame) -> DataFrame:
     star = seeds.select("profile", "star").unionByName(members).unionByName(own_members)
     star = cut(star)
     # (3)-(5) for short forms, then initials
-    star = _attach(p, star, skew_join(nick, shorts.select(F.col("s").alias("given"), F.col("g").alias("long")), "given"), ["family", "long"], ["family", "given"], ["family", "given"])
+    star = _attach(p, star, nick.join(shorts.select(F.col("s").alias("given"), F.col("g").alias("long")), "given"), ["family", "long"], ["family", "given"], ["family", "given"])
     star = _attach(p, star, bare.withColumn("long", F.col("initial")), ["family", "long"], ["family", "initial"], ["family", "initial"])
     star = star.unionByName(alone.select("profile", F.col("profile").alias("star")))
     linked = p.select("profile").join(star, "profile", "left").select("profile", F.coalesce("star", "profile").alias("star"))
-    out = skew_join(whole.select("author_id", "profile"), linked, "profile", "inner", unique=True)
-    out = cut(out.select("author_id", "star"))
+    out = cut(whole.select("author_id", "profile").join(linked, "profile").select("author_id", "star"))
     head = out.groupBy("star").agg(F.min("author_id").alias("entity"))
-    return skew_join(out, head, "star", "inner", unique=True).select("author_id", "entity")
+    return out.join(head, "star").select("author_id", "entity")
 
 
 def _evidence_stars(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -374,9 +375,8 @@ def _evidence_stars(rows: DataFrame, key: list[str]) -> DataFrame:
     edge = cut(rows.select("profile", F.explode("proof").alias("e"), *key).select("profile", F.xxhash64("e", *key).alias("k")))
     label = rows.select("profile", F.col("profile").alias("star"))
     while True:
-        low = skew_join(edge, label, "profile", "inner", unique=True).groupBy("k").agg(F.min("star").alias("low"))
-        new = skew_join(edge, low, "k", "inner", unique=True).groupBy("profile").agg(F.min("low").alias("star"))
-        new = cut(new)
+        low = edge.join(label, "profile").groupBy("k").agg(F.min("star").alias("low"))
+        new = cut(edge.join(low, "k").groupBy("profile").agg(F.min("low").alias("star")))
         moved = new.join(label.select("profile", F.col("star").alias("was")), "profile").where("star <> was").limit(1).count()
         label = new
         if not moved:
@@ -441,4 +441,4 @@ def name_pairs(linked: DataFrame) -> DataFrame:
     sizes = linked.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entity")
     many = linked.join(sizes, "entity", "left_semi")
     b = many.select("entity", F.col("author_id").alias("author_id_b"))
-    return skew_join(many.select("entity", F.col("author_id").alias("author_id_a")), b, "entity", "inner").where("author_id_a < author_id_b").select("author_id_a", "author_id_b")
+    return many.join(b, "entity").where("author_id < author_id_b").select(F.col("author_id").alias("author_id_a"), "author_id_b")
