@@ -70,14 +70,13 @@ def skew_join(
     ``sketch_candidates`` and written down if not given, so at most ``3/share``. ``unique``: ``small`` has one row per key; its heavy rows are then at most that many and broadcast.
     Otherwise the heavy rows of ``big`` get a salt and those of ``small`` are repeated per salt, so that any number of
     rows on either side is spread over ``salts`` tasks per key. All other keys hold less than ``share`` of the rows and
-    go through one ordinary shuffle join. Null keys match nothing (a left join keeps their rows). Column names other
-    than ``on`` must differ between the sides; a clash is an error here rather than a wrong result later.
+    go through one ordinary shuffle join. Null keys match nothing (a left join keeps their rows). A column of ``small``
+    named like one of ``big`` comes out with ``_small`` behind its name. Empty sides give what the join gives.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
-    clash = {c.lower() for c in big.columns} & {c.lower() for c in small.columns} - {on.lower()}
-    if clash:
-        raise ValueError(f"columns on both sides: {sorted(clash)}")
+    taken = {c.lower() for c in big.columns} - {on.lower()}
+    small = small.select(*(F.col(f"`{c}`").alias(f"{c}_small") if c.lower() in taken else F.col(f"`{c}`") for c in small.columns))
     tag = f"_h{uuid.uuid4().hex[:8]}"
     if heavy is None:
         # both branches must see the same keys, and a sketch may come out differently when it is computed again
