@@ -73,5 +73,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_matches, p4_found, p4_entities, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_pieces)}
 
 
+_LETTERS = "regexp_replace(lower(nfc_normalize({})), '[^\\p{{L}}\\p{{N}}\\p{{M}}]', '', 'g')"
+_FIELDS = ["array_to_string(from_json(json_extract(body, '$.authors'), '[\"varchar\"]'), '')", *(f"json_extract_string(body, '$.{f}')" for f in ("title", "year", "venue", "pages", "doi"))]
+_SQL_SAME = f"""same as (select record_id, body, [{', '.join("coalesce(" + _LETTERS.format(f) + ", '')" for f in _FIELDS)}] as canon from paper_feed where json_valid(body))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the record collapse; the other operators here can't be expressed in it and are tested in tests/llm."""
+    return {
+        "p2_found": f"with {_SQL_SAME} select keep_id, record_id as copy_id from (select record_id, min(record_id) over (partition by canon) as keep_id from same) where record_id > keep_id",
+        "p2_groups": f"with {_SQL_SAME} select min(record_id) as keep_id, count(*) as n_copies, cast(1 as bigint) as n_texts from same group by canon",
+    }

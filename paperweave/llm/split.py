@@ -22,33 +22,28 @@ _STOPS[list(b".!?")] = True
 def boundaries(data: bytes) -> list[np.ndarray]:
     """Sorted byte offsets of each kind of boundary; a cut there puts the white space at the head of the next piece.
 
-    Paragraph: before an empty line; line: before a line end; sentence: after ``. ! ?`` before white space, or after an
-    ideographic full stop; space: before a blank.
+    Each run of blanks and line ends begins a boundary: a paragraph's if two or more lines end in it, a line's if one
+    does, a sentence's if it follows ``. ! ?``, a space's in any case. Ideographic stops end a sentence without blanks.
     """
     b = np.frombuffer(data, np.uint8)
     if len(b) < 2:
         return [np.zeros(0, np.int64)] * 4
     newline = (b == 10) | ((b == 13) & ~np.append(b[1:] == 10, False))
-    blank = (b == 32) | (b == 9)
-    solid = ~(newline | blank | (b == 13))
-    before_solid = np.append(False, solid[:-1])
-    line = np.flatnonzero(before_solid & (newline | (b == 13)))
-    # an empty line follows: between this line end and the next solid byte lies another line end
-    ends = np.cumsum(newline)
-    nxt = np.flatnonzero(solid)
-    to = np.searchsorted(nxt, line)
-    last = ends[np.minimum(np.append(nxt, len(b))[to], len(b) - 1)]
-    paragraph = line[(last - ends[line] + newline[line]) >= 2]
-    sentence = np.flatnonzero(np.append(False, _STOPS[b[:-1]]) & ~solid)
+    white = newline | (b == 32) | (b == 9) | (b == 13)
+    space = np.flatnonzero(white[1:] & ~white[:-1]) + 1
+    solid = np.append(np.flatnonzero(~white), len(b))
+    count = np.append(0, np.cumsum(newline))
+    lines = count[solid[np.searchsorted(solid, space)]] - count[space]
     wide: list[int] = []
     for stop in (b"\xe3\x80\x82", b"\xef\xbc\x81", b"\xef\xbc\x9f"):  # ideographic full stop, wide ! and ?
         at = data.find(stop)
         while at >= 0:
             wide.append(at + 3)
             at = data.find(stop, at + 3)
+    sentence = space[_STOPS[b[space - 1]]]
     if wide:
         sentence = np.unique(np.concatenate([sentence, np.array(wide)]))
-    return [paragraph, line, sentence, np.flatnonzero(before_solid & blank)]
+    return [space[lines > 1], space[lines > 0], sentence, space]
 
 
 def cut_tokens(v: Vocabulary, text: str, ids: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP, fill: float = 0.5) -> list[tuple[int, int, str]]:
@@ -75,7 +70,7 @@ def cut_tokens(v: Vocabulary, text: str, ids: np.ndarray, limit: int = LIMIT, ov
     for b in boundaries(data):
         k = np.searchsorted(off, b)
         places.append(k[off[np.minimum(k, n)] == b])
-    words = set(places[3].tolist()) | set(places[1].tolist())
+    words = set(places[3].tolist())
     out: list[tuple[int, int, str]] = []
     start = 0
     while True:
