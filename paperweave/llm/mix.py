@@ -90,7 +90,7 @@ def mix(
     passes = F.least(F.col("max_repeats"), F.when(F.col("tokens") > 0, F.ceil(F.lit(end) * F.col("target_share") / F.col("tokens"))).otherwise(F.lit(1)).cast("int"))
     uses = (
         place.withColumn("within", within)
-        .join(F.broadcast(before.select("source", "bucket", F.coalesce("base", F.lit(0)).alias("base"))), ["source", "bucket"])
+        .join(before.select("source", "bucket", F.coalesce("base", F.lit(0)).alias("base")), ["source", "bucket"])  # partitioned so already
         .join(F.broadcast(plan.where("target_share > 0 and max_repeats > 0").select("source", "target_share", "max_repeats", "tokens")), "source")
         .withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.greatest(passes, F.lit(1)) - 1)))
         .withColumn("so_far", F.col("repeat_no") * F.col("tokens") + F.col("base") + F.col("within"))
