@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators.crawl import CitationSource, CrawlResult, crawl
-from .operators.graphstore import merge_cites, merge_publications, publication_batch
 from .operators.predicates import crawl_predicate
-from .session import build_session, shared_dir
+from .session import build_session, cut, shared_dir
 from .sinks.graph_json import paper_nodes, write_json_graph, write_tables
+from .sinks.property_graph import PropertyGraph
 from .sources import documents
 from .sources.seeds import literal_seeds, seed_authors, seed_papers_keywords, seed_union
 
@@ -32,6 +32,7 @@ def arguments() -> argparse.ArgumentParser:
     j.add_argument("--one-document", action="store_true", help="a single JSON document, for small graphs")
     g = sub.add_parser("graph", help="property-graph tables, upserted")
     g.add_argument("--dest", required=True)
+    g.add_argument("--no-skip-existing", action="store_true", help="write references the store links already, too")
     return p
 
 
@@ -47,21 +48,20 @@ def run(args: argparse.Namespace) -> CrawlResult:
     authors = literal_seeds(spark, args.aid, "author_id")
     if args.persons:
         authors = authors.unionByName(seed_authors(spark.read.parquet(args.persons)))
-    got = crawl(source, seeds, lambda y, t: crawl_predicate(y, t, args.year, args.keyword), args.limit, authors)
     cols = ["title", "year", "pub_date_raw", "abstract", "dblp_key", "doi_raw"]
     record = detail.select("paper_id", F.struct(F.lit(0).alias("k"), *cols).alias("r"))
     for obs, key in ((source.reference_obs, "cited_id"), (source.citation_obs, "citing_id")):
         record = record.unionByName(obs.select(F.col(key).alias("paper_id"), F.struct(F.lit(1).alias("k"), *cols).alias("r")))
-    papers = record.join(got.nodes(), "paper_id", "left_semi").groupBy("paper_id").agg(F.min("r").alias("r")).select("paper_id", *[f"r.{c}" for c in cols])
+    papers = record.groupBy("paper_id").agg(F.min("r").alias("r")).select("paper_id", *[f"r.{c}" for c in cols])
+    observed = documents.paper_author(raw)
+    sink = None
+    if args.sink == "graph":
+        sink = PropertyGraph(spark, args.dest, cut(papers), source.reference_obs, observed, skip_existing=not args.no_skip_existing)
+    keep = lambda y, t: crawl_predicate(y, t, args.year, args.keyword)
+    got = crawl(source, seeds, keep, args.limit, authors, on_level=sink.write_level if sink else None)
     if args.sink == "json":
-        nodes = paper_nodes(papers)
+        nodes = paper_nodes(papers.join(got.nodes(), "paper_id", "left_semi"), observed)
         (write_json_graph if args.one_document else write_tables)(nodes, got.edges.select("citing_id", "cited_id"), args.dest)
-    else:
-        batch = publication_batch(papers, F.col("paper_id"))
-        pubs = merge_publications(None, batch)
-        hashes = batch.select("paper_id", "title_hash")
-        pubs.write.mode("overwrite").parquet(f"{args.dest}/publication")
-        merge_cites(None, got.edges, hashes, pubs).write.mode("overwrite").parquet(f"{args.dest}/cite")
     return got
 
 

@@ -30,6 +30,15 @@ def author_keys(observed: DataFrame) -> DataFrame:
     return observed.where(falsy(F.col("author_id")).isNotNull()).select("paper_id", F.lit("author_id").alias("key"), F.col("author_id").alias("value")).distinct()
 
 
+def persons_by_key(person: DataFrame, keys: DataFrame) -> DataFrame:
+    """Stored persons by key: ``paper_id`` and the person's columns, for each (paper_id, key, value) of ``keys``.
+
+    ``key`` names the column compared, author_id or dblp_pid; null and empty values find nobody.
+    """
+    by = person.select("element_id", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), falsy(F.col(k)).alias("value")) for k in ("author_id", "dblp_pid")])).alias("x")).select("element_id", "x.key", "x.value").where("value is not null")
+    return keys.join(by, ["key", "value"]).select("paper_id", "element_id").distinct().join(person, "element_id")
+
+
 def observed_names(observed: DataFrame) -> DataFrame:
     """``paper_id``, ``name``, and the author it stands for in that paper: the last in order, as names repeat."""
     rows = observed.select("paper_id", "pos", "author_id", "homepage", F.posexplode("dblp_name").alias("k", "name")).where("name <> ''")
@@ -42,8 +51,7 @@ def correlated_persons(papers: DataFrame, observed: DataFrame, person: DataFrame
     ``papers``: paper_id, title_hash; ``write``: element_id, title_hash. Result: ``paper_id`` and the person's columns.
     """
     by_write = papers.select("paper_id", "title_hash").join(write, "title_hash").select("paper_id", "element_id")
-    keys = author_keys(observed).where("key = 'author_id'").select("paper_id", F.col("value").alias("author_id"))
-    by_key = keys.join(person.where(falsy(F.col("author_id")).isNotNull()).select("element_id", "author_id"), "author_id").select("paper_id", "element_id")
+    by_key = persons_by_key(person, author_keys(observed)).select("paper_id", "element_id")
     return by_write.unionByName(by_key).distinct().join(person, "element_id")
 
 

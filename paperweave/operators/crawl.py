@@ -171,3 +171,16 @@ def mutual(edges: DataFrame) -> DataFrame:
     """Pairs of papers that cite each other, once: ``a`` < ``b``."""
     e = edges.where("citing_id <> cited_id").select(F.least("citing_id", "cited_id").alias("a"), F.greatest("citing_id", "cited_id").alias("b"), (F.col("citing_id") < F.col("cited_id")).alias("up"))
     return e.groupBy("a", "b").agg(F.min("up").alias("lo"), F.max("up").alias("hi")).where("lo <> hi").select("a", "b")
+
+
+def news_by_paper(result: CrawlResult, step: DataFrame) -> DataFrame:
+    """``paper_id``, ``news``: how many papers each expanded one brought in, 0 for none.
+
+    A paper found by several of one level counts for the least of their ids, so the figures don't depend on any order.
+    """
+    depth = result.discovered.select("paper_id", "depth")
+    found = depth.where("depth > 0").select(F.col("paper_id").alias("nbr"), (F.col("depth") - 1).alias("from_depth"))
+    parents = result.discovered.where("expanded").select(F.col("paper_id").alias("src"), F.col("depth").alias("from_depth"))
+    by = step.select("src", "nbr").distinct().join(found, "nbr").join(parents, ["src", "from_depth"]).groupBy("nbr").agg(F.min("src").alias("src"))
+    news = by.groupBy(F.col("src").alias("paper_id")).agg(F.count(F.lit(1)).alias("news"))
+    return result.discovered.where("expanded").select("paper_id").join(news, "paper_id", "left").select("paper_id", F.coalesce("news", F.lit(0)).alias("news"))

@@ -318,6 +318,14 @@ def unexpanded_nodes(spark: SparkSession, root: str) -> DataFrame:
     return got.nodes().join(got.discovered.where("expanded"), "paper_id", "left_anti")
 
 
+@query(
+    f"""{_sql_walk(2)}, credit as (select s.nbr, min(s.src) as src from step s join level a on a.paper_id = s.src join level b on b.paper_id = s.nbr where b.depth = a.depth + 1 and a.depth <= 1 group by 1)
+ select l.paper_id, count(credit.nbr) as news from level l left join credit on credit.src = l.paper_id where l.depth <= 1 group by 1"""
+)
+def crawl_news_by_paper(spark: SparkSession, root: str) -> DataFrame:
+    return C.news_by_paper(_crawled(spark, root, 0), C.steps(_source(spark, root), keep_all))
+
+
 _SQL_LATEST = """paper as (select * from (select *, row_number() over (partition by lower(paper_id) order by fetched_at desc nulls last, loaded_at desc nulls last, title desc nulls last) as n from paper_detail
  where paper_id <> '') where n = 1)"""
 _SQL_KW_STEP = f"""{_SQL_LATEST}, raw as (select o.endpoint, lower(citing_id) as citing_id, lower(cited_id) as cited_id, neighbour_year as year, p.title from citation_obs o
@@ -470,6 +478,11 @@ def author_key_values(spark: SparkSession, root: str) -> DataFrame:
     return A.author_keys(_observed(spark, root))
 
 
+@query(f"with {_SQL_OBSERVED} select distinct o.paper_id, p.element_id, p.dblp_pid from observed o join person p on p.author_id = o.author_id")
+def persons_by_key(spark: SparkSession, root: str) -> DataFrame:
+    return A.persons_by_key(table(spark, root, "person"), A.author_keys(_observed(spark, root))).select("paper_id", "element_id", "dblp_pid")
+
+
 @query(f"with {_SQL_GRAPH} select * from wrote")
 def persons_of_publications(spark: SparkSession, root: str) -> DataFrame:
     return _stored(spark, root)[3]

@@ -10,13 +10,14 @@ from ..operators.predicates import fresh
 from ..schemas import ENDPOINTS, REQUIRED
 
 
-def usable(raw_doc: DataFrame, endpoint: str) -> DataFrame:
+def usable(raw_doc: DataFrame, endpoint: str, valid: Column | None = None) -> DataFrame:
     """Documents of one endpoint whose body is an object with the endpoint's key (its value may be null).
 
-    The body comes parsed in ``doc``; what isn't JSON, or not an object, or lacks the key, is left out.
+    The body comes parsed in ``doc``; what isn't JSON, or not an object, or lacks the key, is left out. ``valid``: a test
+    of the raw row in place of the key test.
     """
     part = raw_doc.where(F.col("endpoint") == endpoint)
-    ok = F.array_contains(F.json_object_keys("body"), REQUIRED[endpoint])
+    ok = F.array_contains(F.json_object_keys("body"), REQUIRED[endpoint]) if valid is None else valid
     return part.where(ok).withColumn("doc", F.from_json("body", ENDPOINTS[endpoint]))
 
 

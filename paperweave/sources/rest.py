@@ -33,7 +33,7 @@ class PaperApiReader(DataSourceReader):
         self.endpoint = options["endpoint"]
         if self.endpoint not in _PATHS:
             raise ValueError(f"unknown endpoint {self.endpoint}")
-        self.ids = [i.lower() for i in dict.fromkeys(json.loads(options.get("ids", "[]")))]
+        self.ids = list(dict.fromkeys(i.lower() for i in json.loads(options.get("ids", "[]"))))
         self.fields, self.batch = options.get("fields", ""), int(options.get("batch", "100"))
         self.sleep, self.timeout = float(options.get("sleep", "0")), float(options.get("timeout", "30"))
         self.headers = json.loads(options.get("headers", "{}"))

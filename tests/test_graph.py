@@ -106,3 +106,28 @@ def test_json_sink(spark, tmp_path):
     write_tables(nodes, edges, str(tmp_path / "tables"))
     assert spark.read.parquet(str(tmp_path / "tables" / "edges")).count() == 2
     assert A.author_json is not None and spark.range(1).select(F.to_json(A.author_json(F.lit("a"), F.lit(""), F.lit(None).cast("string")))).first()[0] == '{"authorId":"a"}'
+
+
+def test_property_graph_by_levels(spark, tmp_path):
+    from paperweave.sinks.property_graph import PropertyGraph
+
+    papers = spark.createDataFrame([(f"p{i}", f"title {i}", 2000 + i, None, None, None, None, 0) for i in range(5)], PAPER).drop("seq")
+    refs = spark.createDataFrame([("p0", "p1"), ("p0", "p4"), ("p1", "p2"), ("p1", "gone")], "citing_id string, cited_id string")
+    observed = spark.createDataFrame([("p0", 0, "a0", "Ann", "h", ["Ann"]), ("p1", 0, "a1", "Bob", None, ["Bob"])], OBSERVED)
+    g = PropertyGraph(spark, str(tmp_path / "g"), papers, refs, observed)
+    g._put("person", spark.createDataFrame([("n0", "a0", None, "Ann", None)], "element_id string, author_id string, dblp_pid string, name string, homepage string"))
+    levels = [(0, ["p0"], [("p0", "p1")]), (1, ["p1"], [("p1", "p2"), ("p3", "p1")])]
+
+    def write():
+        for k, ids, e in levels:
+            g.write_level(k, spark.createDataFrame([(i,) for i in ids], "paper_id string"), spark.createDataFrame([(*x, k) for x in e], "citing_id string, cited_id string, level int"))
+        return {n: rows(g.table(n)) for n in ("publication", "person", "cite", "write")}
+
+    once = write()
+    assert [r[0] for r in once["publication"]] == [f"title{i}" for i in range(5)]
+    assert once["cite"] == [("title0", "title1"), ("title0", "title4"), ("title1", "title2"), ("title3", "title1")]
+    assert once["person"] == [("n0", "a0", None, "Ann", "h")] and once["write"] == [("n0", "title0")]
+    assert write() == once
+    back = PropertyGraph(spark, str(tmp_path / "r"), papers, reverse=True)
+    back.write_level(0, papers.select("paper_id"), refs)
+    assert ("title1", "title0") in rows(back.table("cite"))

@@ -66,11 +66,11 @@ def test_cache_tree(spark, tmp_path):
 
 def test_seeds(spark):
     pubs = spark.createDataFrame(
-        [("h graph", "x1", None, 2001), ("graph", None, "https://doi.org/10.1/A", 2001), ("graph", None, None, 2001), ("graph", "", "", None), ("other", "x2", None, 1990)], "title_hash string, paper_id string, doi string, year int"
+        [("zgraph", "x1", None, 2001), ("graph", None, "https://doi.org/10.1/A", 2001), ("graph", None, None, 2001), ("graph", "", "", None), ("other", "x2", None, 1990)], "title_hash string, paper_id string, doi string, year int"
     )
     assert rows(S.seed_papers(pubs)) == [("DOI:10.1/A",), ("x1",), ("x2",)]
     assert rows(S.seed_papers_keywords(pubs, 2000, "graph")) == [("DOI:10.1/A",), ("x1",)]
-    assert rows(S.seed_papers_keywords(pubs, 2000, "", "h Graph")) == [("x1",)] and S.seed_papers_keywords(pubs, 2000, "h Graph", normalize=False).count() == 0
+    assert rows(S.seed_papers_keywords(pubs, 2000, "", "z Graph")) == [("x1",)] and S.seed_papers_keywords(pubs, 2000, "z Graph", normalize=False).count() == 0
     assert rows(S.seed_authors(spark.createDataFrame([("a",), (None,), ("",)], "author_id string"))) == [("a",)]
     u = S.seed_union(spark.createDataFrame([("A",), (None,), ("",)], "id string"), spark.createDataFrame([("a",), ("b",)], "id string"))
     assert rows(u) == [("a",), ("b",)]
@@ -106,6 +106,14 @@ def test_rest_source(spark):
     rest.register(spark)
     df = spark.read.format("paper_api").options(base=f"http://127.0.0.1:{server.server_port}", endpoint="references", ids=json.dumps(["GOOD", "good", "odd", "gone"]), batch="2", fields="title").load()
     assert rows(df.select("endpoint", "key_id", "body")) == [("references", "gone", None), ("references", "good", '{"data":[]}'), ("references", "odd", None)]
+    from paperweave.sources.fetch import stale_ids, through_cache
+
+    ids = spark.createDataFrame([("A",), ("GOOD",), ("gone",), (None,)], "id string")
+    now = F.lit("2024-01-05").cast("timestamp")
+    assert rows(stale_ids(ids, raw(spark), "references", now)) == [("gone",), ("good",)]
+    got = through_cache(ids, raw(spark), "references", now, f"http://127.0.0.1:{server.server_port}")
+    assert [r.key_id for r in got.collect()] == ["good"]
+    assert D.usable(raw(spark), "references", F.col("key_id") == "m").count() == 1
     server.shutdown()
     with pytest.raises(ValueError):
         rest.PaperApiReader({"base": "x", "endpoint": "nothing"})
