@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -45,13 +45,9 @@ def heavy_keys(df: DataFrame, key: Column, share: float, of_rows: DataFrame | No
         .groupBy(F.when(F.col("_c").isNotNull(), F.col("key")).alias("key"))
         .agg(F.count(F.lit(1)).alias("n_rows"))
     )
-    # one row per candidate and one (null) for all the rest: the total is their sum
-    total = hit.agg(F.sum("n_rows").alias("n_total"))
-    return (
-        hit.where(F.col("key").isNotNull())
-        .crossJoin(F.broadcast(total))  # one row
-        .where(F.col("n_rows") >= F.lit(share) * F.col("n_total"))
-    )
+    # a row per candidate and one (null) for all the rest, few enough for one window: the total is their sum
+    summed = hit.withColumn("n_total", F.sum("n_rows").over(Window.partitionBy()))
+    return summed.where(F.col("key").isNotNull() & (F.col("n_rows") >= F.lit(share) * F.col("n_total")))
 
 
 def skew_join(
@@ -105,8 +101,7 @@ def attach_first(rows: DataFrame, group: str, value: str, out: str, share: float
     """
     rows = rows.where(F.col(group).isNotNull() & F.col(value).isNotNull())
     groups = rows.groupBy(group).agg(F.min(value).alias(out), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    total = rows.agg(F.count(F.lit(1)).alias("_all"))
-    heavy = groups.crossJoin(F.broadcast(total)).where(F.col("_n") >= F.greatest(F.lit(1000.0), F.lit(share) * F.col("_all"))).select(group)
+    heavy = groups.where(F.col("_n") >= max(1000.0, share * rows.count())).select(group)
     return skew_join(rows, groups.drop("_n"), group, "inner", unique=True, heavy=heavy)
 
 

@@ -38,11 +38,14 @@ def json_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     For graphs that fit one task; larger ones are written by ``write_tables``.
     """
-    n = nodes.agg(F.sort_array(F.collect_list(F.struct(F.col("paper_id").alias("k"), F.col("node").alias("v")))).alias("n"))
-    e = edges.agg(F.sort_array(F.collect_list(F.array("citing_id", "cited_id"))).alias("e"))
+    none = F.lit(None)
+    both = nodes.select(F.struct(F.col("paper_id").alias("k"), F.col("node").alias("v")).alias("n"), none.cast("array<string>").alias("e")).unionByName(
+        edges.select(none.cast("struct<k:string,v:string>").alias("n"), F.array("citing_id", "cited_id").alias("e"))
+    )
+    lists = both.agg(F.sort_array(F.collect_list("n")).alias("n"), F.sort_array(F.collect_list("e")).alias("e"))
     item = lambda x: F.concat(F.to_json(F.array(x["k"])).substr(F.lit(2), F.length(F.to_json(F.array(x["k"]))) - 2), F.lit(": "), x["v"])
     body = F.concat(F.lit('{"nodes": {'), F.array_join(F.transform("n", item), ", "), F.lit('}, "edges": '), F.to_json("e"), F.lit("}"))
-    return n.crossJoin(F.broadcast(e)).select(body.alias("document"))  # one row each
+    return lists.select(body.alias("document"))
 
 
 def write_tables(nodes: DataFrame, edges: DataFrame, path: str) -> None:
