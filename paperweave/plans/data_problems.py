@@ -88,8 +88,34 @@ _STATS = """select '{s}' as side, lower({s}_id) as paper_id, count(*) as n_rows,
 _DOC = "partition by coalesce(endpoint, ''), lower(key_id), body order by raw_id"
 
 
+def _unnested(source: str, value: str, keep: str) -> str:
+    """Items of a JSON list with their places; what isn't a list has none."""
+    arr = f"from_json(case when json_type({value}) = 'ARRAY' then {value} else '[]' end, '[\"json\"]')"
+    return f"(select {keep}, unnest({arr}) as item, cast(generate_subscripts({arr}, 1) - 1 as int) as pos from {source})"
+
+
+_FLAT = f"""ok as (select raw_id, endpoint, cast(case when json_valid(body) then body end as json) as j from raw_doc), obj as (select * from ok where json_type(j) = 'OBJECT'),
+ listed as {_unnested("obj", "json_extract(j, '$.data')", "raw_id, endpoint")},
+ paper as (select * from (select raw_id, endpoint, 'paper' as kind, -1 as data_pos, j as p from obj where endpoint = 'paper'
+ union all select raw_id, endpoint, 'cited', pos, json_extract(item, '$.citedPaper') from listed where endpoint = 'references'
+ union all select raw_id, endpoint, 'citing', pos, json_extract(item, '$.citingPaper') from listed where endpoint = 'citations'
+ union all select raw_id, endpoint, 'authored', pos, item from listed where endpoint = 'author_papers') where p->>'$.paperId' <> ''),
+ inside as {_unnested("paper", "json_extract(p, '$.authors')", "raw_id, endpoint, kind, data_pos")},
+ author as (select * from (select raw_id, endpoint, data_pos, pos as author_pos, item as a from inside where kind <> 'authored' union all select raw_id, endpoint, -1, pos, item from listed where endpoint = 'authors') where a->>'$.authorId' <> ''),
+ ext as (select raw_id, data_pos, p, unnest(json_keys(p, '$.externalIds')) as k from paper where kind <> 'authored' and json_type(p, '$.externalIds') = 'OBJECT'),
+ named as {_unnested("author", "json_extract(a, '$.externalIds.DBLP')", "raw_id, data_pos, author_pos")},
+ names as (select raw_id, data_pos, author_pos, pos as name_pos, item->>'$' as name from named
+ union all select raw_id, data_pos, author_pos, 0, a->>'$.externalIds.DBLP' from author where json_type(a, '$.externalIds.DBLP') = 'VARCHAR')"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": f"""with {_FLAT} select raw_id, kind as child_kind, data_pos, -1 as author_pos, -1 as name_pos, p->>'$.paperId' as child_value from paper where kind <> 'paper'
+ union all select * from (select raw_id, 'external', data_pos, -1, -1, k || ':' || (p->>('$.externalIds."' || k || '"')) as v from ext) where v not like '%:'
+ union all select raw_id, 'author', data_pos, author_pos, -1, a->>'$.authorId' from author
+ union all select raw_id, 'dblp_name', data_pos, author_pos, name_pos, name from names where name <> ''""",
+        "p1_papers": f"""with {_FLAT} select raw_id, endpoint, kind, data_pos, p->>'$.paperId' as paper_id, p->>'$.title' as title, try_cast(p->>'$.year' as int) as year, p->>'$.publicationDate' as publication_date from paper""",
+        "p1_authors": f"""with {_FLAT} select raw_id, endpoint, data_pos, author_pos, a->>'$.authorId' as author_id, a->>'$.name' as name, a->>'$.homepage' as homepage from author""",
         "p5_found": " union all ".join(_SIDE.format(s=s) for s in ("cited", "citing")),
         "p5_paper_stats": " union all ".join(_STATS.format(s=s, o=o) for s, o in (("cited", "citing"), ("citing", "cited"))),
         "p5_cited_years": """select o.paper_id, count(*) as n_rows, count(g) as n_dated, min(g) as least_lag, max(g) as most_lag, cast(sum(g) as bigint) as sum_lag
