@@ -95,3 +95,12 @@ def test_homepages_tell(spark):
     for x in ids:
         pages.setdefault(entity[x], set()).add(page[x])
     assert sum(len(v) > 1 for v in pages.values()) <= 2
+
+
+def test_a_third_of_all_rows_has_one_name(spark):
+    same = [(f"s{i:03d}", "Wide Spread", None, None, None) for i in range(200)]
+    rest = [(f"r{i:03d}", f"Given{chr(97 + i % 26)}{chr(97 + i // 26)}x Family{chr(97 + i % 26)}{chr(97 + i // 26)}qz", None, None, None) for i in range(400)]
+    p, forms = people(spark, same + rest)
+    linked = {r.author_id: r.entity for r in link_names(p, forms).collect()}
+    assert {linked[a] for a, *_ in same} == {"s000"} and len(linked) == 606
+    assert name_pairs(link_names(p, forms)).count() == 200 * 199 // 2

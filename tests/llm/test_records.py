@@ -163,3 +163,14 @@ def test_recall_where_identifiers_tell(spark):
     wrong = sum(e in alone and alone[e] != w for e, w in known)
     assert right >= 0.8 * len(known) and wrong <= 0.02 * len(known)
     assert not [r for r in p.collect() if r.element_id in got and (r.title or "").startswith(("Erratum", "Reply to"))]
+
+
+def test_a_third_of_all_publications_is_alike(spark, works):
+    d, p, truth = works
+    from pyspark.sql import functions as F
+
+    many = spark.range(200).select(F.concat(F.lit("c"), F.col("id")).alias("element_id"))
+    one = p.where("element_id = 'e1'").drop("element_id")
+    both = p.unionByName(many.withColumn("k", F.lit(1)).join(one.withColumn("k", F.lit(1)), "k").drop("k"))
+    got = {r.element_id: r.paper_id for r in match(d, both).collect()}
+    assert all(got.get(f"c{i}") == "p1" for i in range(200)) and got["e1"] == "p1"
