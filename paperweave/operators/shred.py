@@ -155,14 +155,16 @@ class FlatTable:
     lone: bool = False
 
 
-def pivot(rows: list, tables: list[FlatTable]) -> Iterator[tuple[str, tuple[int, ...], dict[str, str | None]]]:
+def pivot(rows: list, tables: list[FlatTable], uses: dict[tuple[str, ...], list] | None = None) -> Iterator[tuple[str, tuple[int, ...], dict[str, str | None]]]:
     """Group triples by repeated ancestor and pivot each group: table name, ordinals, columns.
 
-    ``tables`` must list parents before children. Rows come out per table, in the order of their ordinals.
+    ``tables`` must list parents before children. Rows come out per table, in the order of their ordinals. ``uses`` keeps
+    what each path means to the tables, from record to record.
     """
+    uses = {} if uses is None else uses
     groups: list[dict[tuple, dict[str, str | None]]] = [{} for _ in tables]
     for path, places, value in rows:
-        for i, n, column, how in _uses(path, tables):
+        for i, n, column, how in uses.get(path) or _uses(path, tables, uses):
             if how == "cell":
                 g = groups[i].get(places[:n])
                 if g is None:
@@ -192,14 +194,10 @@ def _order(item: tuple) -> tuple:
     return tuple((isinstance(x, str), x) for x in item[0])
 
 
-_USES: dict[tuple, list] = {}
-
-
-def _uses(path: tuple[str, ...], tables: list[FlatTable]) -> list[tuple[int, int, str | None, str]]:
+def _uses(path: tuple[str, ...], tables: list[FlatTable], uses: dict) -> list[tuple[int, int, str | None, str]]:
     """What a triple's path means to each table: its number, its list levels, the column, and how."""
-    known = _USES.get((id(tables), path))
-    if known is not None:
-        return known
+    if path in uses:
+        return uses[path]
     use: list[tuple[int, int, str | None, str]] = []
     for i, t in enumerate(tables):
         depth, n = len(t.ancestor), sum(a == "[]" for a in t.ancestor)
@@ -211,9 +209,9 @@ def _uses(path: tuple[str, ...], tables: list[FlatTable]) -> list[tuple[int, int
             use.append((i, n, next((k for k, v in t.columns.items() if path[depth:] == v), None), "cell"))
         elif t.lone and path == t.ancestor[:-1]:
             use.append((i, n, next(iter(t.columns)), "lone"))
-    if len(_USES) > 20_000:  # open maps can bring any number of paths
-        _USES.clear()
-    _USES[(id(tables), path)] = use
+    if len(uses) > 20_000:  # open maps can bring any number of paths
+        uses.clear()
+    uses[path] = use
     return use
 
 
@@ -239,15 +237,16 @@ def shred(df: DataFrame, key: str, body: str, tables: list[FlatTable], route: st
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uses: dict[str, dict] = {r: {} for r in by}
         for b in batches:
             out: tuple[list, list, list, list] = ([], [], [], [])
             size = 0
             routes = b.column(2) if route else None
             for i in range(b.num_rows):
-                use = by.get(routes[i].as_py() if routes is not None else "", [])
-                if not use:
+                to = routes[i].as_py() if routes is not None else ""
+                if to not in by:
                     continue
-                for name, at, cols in pivot(valid_triples(b.column(1)[i].as_py()), use):
+                for name, at, cols in pivot(valid_triples(b.column(1)[i].as_py()), by[to], uses[to]):
                     out[0].append(b.column(0)[i].as_py())
                     out[1].append(name)
                     out[2].append(at)
