@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +23,28 @@ def build_session(app: str = "paperweave", master: str | None = None, **conf: st
     }
     for k, v in {**defaults, **conf}.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    return ship(b.getOrCreate())
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Make this package importable on the executors: sent to them once per application, as a zip of its sources."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        here = os.path.dirname(os.path.abspath(__file__))
+        name = os.path.basename(here)
+        out = os.path.join(tempfile.mkdtemp(prefix=f"{name}-"), f"{name}.zip")
+        with zipfile.ZipFile(out, "w") as z:
+            for folder, _, files in os.walk(here):
+                for f in sorted(files):
+                    if f.endswith(".py"):
+                        full = os.path.join(folder, f)
+                        z.write(full, os.path.join(name, os.path.relpath(full, here)))
+        spark.sparkContext.addPyFile(out)
+        _SHIPPED.add(app)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:

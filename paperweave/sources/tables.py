@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 TABLES = (
     "raw_doc paper_detail publication author_profile person citation_obs paper_feed seed_paper documents "
     "given_name_form mix_target region nation customer supplier part orders lineitem events embeddings"
@@ -12,7 +14,7 @@ TABLES = (
 
 def table(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame:
     """Table ``name`` below ``root`` (a Parquet file or folder), with ``columns`` only if any are given."""
-    df = spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
+    df = ship(spark).read.parquet(f"{root.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 
