@@ -321,7 +321,7 @@ def link_names(profiles: DataFrame, short_forms: DataFrame) -> DataFrame:
     said = F.xxhash64("family", "given", F.coalesce("middle", F.lit("")), F.coalesce("number", F.lit("")), "shape", F.coalesce("places", F.array().cast("array<string>")))
     whole = cut(whole.withColumn("profile", F.when(F.col("shape") == "none", F.xxhash64("author_id")).otherwise(said)))
     profile = whole.groupBy("profile").agg(*(F.first(c).alias(c) for c in ("family", "given", "middle", "number", "shape", "places")), F.max("plain").alias("plain"), F.count(F.lit(1)).alias("n"))
-    profile = cut(profile.withColumn("initial", F.substring("given", 1, 1)))
+    profile = profile.withColumn("initial", F.substring("given", 1, 1))
 
     told = short_forms.select(F.lower("short_form").alias("s"), F.lower("given_name").alias("g"))
     # the table is incomplete: a short name that longer names begin with may be short for them
@@ -375,12 +375,12 @@ def _evidence_stars(rows: DataFrame, key: list[str]) -> DataFrame:
     edge = cut(rows.select("profile", F.explode("proof").alias("e"), *key).select("profile", F.xxhash64("e", *key).alias("k")))
     label = rows.select("profile", F.col("profile").alias("star"))
     while True:
-        low = edge.join(label, "profile").groupBy("k").agg(F.min("star").alias("low"))
-        new = cut(edge.join(low, "k").groupBy("profile").agg(F.min("low").alias("star")))
-        moved = new.join(label.select("profile", F.col("star").alias("was")), "profile").where("star <> was").limit(1).count()
-        label = new
-        if not moved:
-            return rows.drop("proof").join(label, "profile")
+        at = edge.join(label, "profile")
+        low = at.groupBy("k").agg(F.min("star").alias("low"))
+        label = cut(at.join(low, "k").groupBy("profile").agg(F.min("low").alias("star"), F.min("star").alias("was")))
+        if not label.where("star <> was").limit(1).count():
+            return rows.drop("proof").join(label.drop("was"), "profile")
+        label = label.drop("was")
 
 
 def _join_only(loose: DataFrame, seeds: DataFrame, key: list[str]) -> DataFrame:
@@ -397,7 +397,7 @@ def _attach(p: DataFrame, star: DataFrame, partial: DataFrame, long: list[str],
     which the rest form stars. By institution first; then, for what has no institution or none that is known, if a
     single star fits. Middle initials must not differ.
     """
-    there = cut(star.join(p, "profile").select("star", "family", "given", "initial", "middle", "places"))
+    there = star.join(p, "profile").select("star", "family", "given", "initial", "middle", "places")
     left = partial.select("profile", *dict.fromkeys([*long, *own]), "middle", "places", "n")
     k = [F.col(a).alias(f"_k{i}") for i, a in enumerate(long)]
     s = [F.col(a).alias(f"_k{i}") for i, a in enumerate(match_on)]
@@ -409,7 +409,7 @@ def _attach(p: DataFrame, star: DataFrame, partial: DataFrame, long: list[str],
     # the star with most of it; none if two have as much
     share = cut(hit.groupBy("profile", "star").agg(F.count_distinct("place").alias("c")))
     most = share.groupBy("profile").agg(F.max("c").alias("c"))
-    got = cut(_uncrowded(share.join(most, ["profile", "c"]), ["profile"]).select("profile", F.col("to_star").alias("star")))
+    got = _uncrowded(share.join(most, ["profile", "c"]), ["profile"]).select("profile", F.col("to_star").alias("star"))
     rest = left.join(got.select("profile"), "profile", "left_anti")
     # what names an institution no star of the name has is someone else
     placed = rest.where("size(places) > 0")
