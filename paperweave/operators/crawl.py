@@ -101,47 +101,62 @@ def crawl(
     claimed = cut(seeds.select(F.col("id").alias("paper_id")))
     frontier = cut(source.detail.select(lower_id(F.col("paper_id")).alias("paper_id")).join(claimed, "paper_id", "left_semi").distinct())
     failed = cut(claimed.join(frontier, "paper_id", "left_anti"))
-    known = frontier.select("paper_id", F.lit(0).alias("depth"), F.lit(True).alias("expanded"))
-    edges = spark.createDataFrame([], "citing_id string, cited_id string, level int")
-    shown = None
-    if write is not None:
-        shown = cut(source.detail.where(write(F.col("year"), F.col("title"))).select(lower_id(F.col("paper_id")).alias("paper_id")).unionByName(
-            source.reference_obs.where(write(F.col("year"), F.col("title"))).select(lower_id(F.col("cited_id")).alias("paper_id"))
-        ).unionByName(source.citation_obs.where(write(F.col("year"), F.col("title"))).select(lower_id(F.col("citing_id")).alias("paper_id"))).distinct())
+    any_failed = failed.limit(1).count() > 0
+    shown = _shown(source, write)
+    # one part per level, written once; what is known or proved is their union
+    known = [frontier.select("paper_id", F.lit(0).alias("depth"), F.lit(True).alias("expanded"))]
+    edges = [spark.createDataFrame([], "citing_id string, cited_id string, level int")]
     stats: list[tuple[int, int, int]] = []
     level, rounds, round_news, round_expanded = 0, 0, 0, 0
     n = frontier.count()
     while True:
         taken = cut(expand(frontier, step, n).select("src", "nbr", "citing_id", "cited_id"))
-        new_edges = taken.select("citing_id", "cited_id").distinct().join(edges, ["citing_id", "cited_id"], "left_anti").withColumn("level", F.lit(level))
-        new_edges = cut(new_edges)
-        found = cut(taken.select(F.col("nbr").alias("paper_id")).distinct().join(known, "paper_id", "left_anti"))
-        counted = taken
-        if shown is not None:  # news count only with the papers that are written
-            counted = taken.join(shown.select(F.col("paper_id").alias("src")), "src", "left_semi")
-            news = counted.select(F.col("nbr").alias("paper_id")).distinct().join(found, "paper_id", "left_semi").count()
-        else:
-            news = found.count()
+        proved = taken.select("citing_id", "cited_id").distinct()
         if on_level is not None:
-            on_level(level, frontier, new_edges)
+            proved = cut(proved.join(_union(edges), ["citing_id", "cited_id"], "left_anti"))
+            on_level(level, frontier, proved)
+        edges.append(proved.withColumn("level", F.lit(level)))
+        found = cut(taken.select(F.col("nbr").alias("paper_id")).distinct().join(_union(known).select("paper_id"), "paper_id", "left_anti"))
+        n_found = found.count()
+        news = n_found
+        if shown is not None:  # news count only with the papers that are written
+            seen = taken.join(shown.select(F.col("paper_id").alias("src")), "src", "left_semi").select(F.col("nbr").alias("paper_id")).distinct()
+            news = seen.join(found, "paper_id", "left_semi").count()
         round_news += news
         round_expanded += n
-        edges = cut(edges.unionByName(new_edges))
-        # a seed that failed is discovered as a node but stays claimed
-        fresh = found.join(failed.withColumn("was_seed", F.lit(True)), "paper_id", "left")
         level += 1
         ends_round = level != 1
         if ends_round:
             rounds += 1
             stats.append((rounds, round_expanded, round_news))
         more = not ends_round or (round_news > 0 and (limit < 0 or rounds <= limit))
-        known = cut(known.unionByName(fresh.select("paper_id", F.lit(level).alias("depth"), (F.lit(more) & F.col("was_seed").isNull()).alias("expanded"))))
+        # a seed that failed is discovered as a node but stays claimed
+        frontier = cut(found.join(failed, "paper_id", "left_anti")) if any_failed else found
+        known.append(frontier.select("paper_id", F.lit(level).alias("depth"), F.lit(more).alias("expanded")))
+        if any_failed:
+            known.append(found.join(failed, "paper_id", "left_semi").select("paper_id", F.lit(level).alias("depth"), F.lit(False).alias("expanded")))
         if not more:
-            return CrawlResult(known, edges, stats)
+            # an edge that both its ends proved belongs to the earlier level
+            first = _union(edges) if on_level is not None else _union(edges).groupBy("citing_id", "cited_id").agg(F.min("level").alias("level"))
+            return CrawlResult(_union(known), first, stats)
         if ends_round:
             round_news = round_expanded = 0
-        frontier = cut(fresh.where("was_seed is null").select("paper_id"))
-        n = frontier.count()
+        n = frontier.count() if any_failed else n_found
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _shown(source: CitationSource, write: Callable[[Column, Column], Column] | None) -> DataFrame | None:
+    """``paper_id`` of the papers an output filter lets through, by any record there is of them."""
+    if write is None:
+        return None
+    ids = [(source.detail, "paper_id"), (source.reference_obs, "cited_id"), (source.citation_obs, "citing_id")]
+    return cut(_union([t.where(write(F.col("year"), F.col("title"))).select(lower_id(F.col(k)).alias("paper_id")) for t, k in ids]).distinct())
 
 
 def discovered_records(result: CrawlResult, source: CitationSource, keep: Callable[[Column, Column], Column]) -> DataFrame:
