@@ -28,6 +28,8 @@ from ..session import cut
 K1, B = 1.2, 0.3
 #: A match has at least this share of the weight of the query's title words, or an identifier in common.
 COVER = 0.6
+#: Common words of a title up to which it is listed under three of them; spellings up to which a word is looked up early.
+LONG, WIDE = 24, 8
 #: Rows of labelled pairs the calibration is fitted on, at most; the parameter's bound.
 LABELLED = 20_000
 
@@ -147,46 +149,116 @@ def corrections(unknown: DataFrame, vocab: DataFrame) -> DataFrame:
     return u.join(v, "d").where((F.levenshtein("word", "as_word", 1) >= 0) | ((F.levenshtein("word", "as_word", 2) == 2) & same_letters)).select("word", "as_word").distinct()
 
 
-def _keys(per: DataFrame, cover: float) -> DataFrame:
-    """``q``, ``a``, ``b``: the pairs of words by which a query is looked up, see ``_lists``."""
-    kind = T.StructType([T.StructField(c, T.StringType()) for c in ("q", "a", "b")])
+def _keys(per: DataFrame, cover: float, most: float) -> DataFrame:
+    """``q``, ``common``, ``a``, ``b``, ``c``: the words by which a query is looked up, see ``_lists``."""
+    kind = T.StructType([T.StructField("q", T.StringType()), T.StructField("common", T.BooleanType()), *(T.StructField(c, T.StringType()) for c in ("a", "b", "c"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
+            out: list[tuple] = []
             for q, u in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                goal = cover * sum(x["idf"] for x in u)
-                known = sorted((x for x in u if x["known"]), key=lambda x: -x["idf"])
-                for r in (x for x in known if x["rare"]):
-                    others = [x for x in known if x["pos"] != r["pos"]]
-                    rest = r["idf"] + sum(x["idf"] for x in others)
-                    partners = []
-                    for x in others:
-                        if rest < goal:  # without the partners so far the goal is out of reach
-                            break
-                        partners.append(x["as_words"])
-                        rest -= x["idf"]
-                    for a in r["as_words"]:
-                        # the rare word alone is enough: its whole list
-                        for b in [a] if r["idf"] >= goal else {w for p in partners for w in p}:
-                            for o, c in zip(out, (q, a, b)):
-                                o.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(o, pa.string()) for o in out], names=["q", "a", "b"])
+                goal = cover * sum(x["idf"] for x in u) - 1e-9
+                found = [x for x in u if x["known"]]
+                out += [(q, False, a, b, None) for a, b in _rare_keys(found, goal, most)]
+                out += [(q, True, *k, *[None] * (3 - len(k))) for k in _common_keys(found, goal, most)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 5, schema)], schema=schema)
 
+    schema = pa.schema([("q", pa.string()), ("common", pa.bool_()), ("a", pa.string()), ("b", pa.string()), ("c", pa.string())])
     return per.select("q", "u").mapInArrow(run, kind)
 
 
+def _rare_keys(found: list[dict], goal: float, most: float) -> set[tuple[str, str]]:
+    """Each rare word with as many other words as it takes for the rest to fall short of the goal."""
+    out = set()
+    known = sorted(found, key=lambda x: (len(x["as_words"]) > WIDE, -x["idf"]))
+    for r in known:
+        rare = [w for w, n in zip(r["as_words"], r["dfs"]) if n <= most]
+        if not rare:
+            continue
+        if r["idf"] >= goal:  # the rare word alone is enough: its whole list
+            out.update((a, a) for a in rare)
+            continue
+        rest, partners = sum(x["idf"] for x in known), set()
+        for x in known:
+            if x["pos"] != r["pos"]:
+                if rest < goal:  # without the partners so far the goal is out of reach
+                    break
+                partners.update(x["as_words"])
+                rest -= x["idf"]
+        out.update((a, b) for a in rare for b in partners)
+    return out
+
+
+def _common_keys(found: list[dict], goal: float, most: float) -> set[tuple[str, ...]]:
+    """Up to three common words each, sorted: a paper without the query's rare words that reaches the goal has one of these."""
+    words = []
+    for x in found:
+        common = [(w, n) for w, n in zip(x["as_words"], x["dfs"]) if n > most]
+        if common:
+            words.append((len(common) > WIDE, sum(n for _, n in common), x["idf"], [w for w, _ in common]))
+    words.sort()
+    rest = [0.0]
+    for x in reversed(words):
+        rest.append(rest[-1] + x[2])
+    rest.reverse()
+    out: set[tuple[str, ...]] = set()
+
+    def extend(start: int, key: frozenset, got: float) -> None:
+        # the paper has the words of ``key`` and none of the others before ``start``
+        if key and any(words[j][0] for j in range(start, len(words)) if got + rest[j] >= goal):
+            out.add(tuple(sorted(key)))
+            return
+        for j in range(start, len(words)):
+            if got + rest[j] < goal:
+                break
+            for w in words[j][3]:
+                more = key | {w}
+                if len(more) == 3 or got + words[j][2] >= goal:
+                    out.add(tuple(sorted(more)))
+                else:
+                    extend(j + 1, more, got + words[j][2])
+
+    extend(0, frozenset(), 0.0)
+    return out
+
+
+def _bits(word: Column) -> tuple[Column, Column]:
+    """A word's bit among 128, as two longs."""
+    at = F.pmod(F.xxhash64(word, F.lit(1)), F.lit(128)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+    none = F.lit(0).cast("long")
+    return F.when(at < 64, bit).otherwise(none), F.when(at >= 64, bit).otherwise(none)
+
+
+def _common_lists(docs: DataFrame, vocab: DataFrame, most: float) -> DataFrame:
+    """``k``, ``d``, ``sx``, ``sy``: the papers under each one, two or three common words of theirs, with the bits of all.
+
+    A title of more than LONG common words is under one and two words only; queries look these up, too.
+    """
+    h = F.xxhash64
+    common = vocab.where(F.col("df") > most).select("word", *(c.alias(n) for c, n in zip(_bits(F.col("word")), ("x", "y"))))
+    each = docs.select("d", F.explode(F.array_distinct(F.transform("words", _bare))).alias("word"))
+    cs = skew_join(each, common, "word", "inner", unique=True).groupBy("d").agg(F.array_sort(F.collect_list("word")).alias("cs"), F.bit_or("x").alias("sx"), F.bit_or("y").alias("sy"))
+    one = lambda *tag: F.transform("cs", lambda x: h(*tag, x))
+    two = lambda *tag: F.flatten(F.transform("cs", lambda x, i: F.transform(F.slice("cs", i + 2, F.size("cs")), lambda y: h(*tag, x, y))))
+    three = F.flatten(F.flatten(F.transform("cs", lambda x, i: F.transform(F.slice("cs", i + 2, F.size("cs")), lambda y, j: F.transform(F.slice("cs", i + j + 3, F.size("cs")), lambda z: h(x, y, z))))))
+    keys = F.when(F.size("cs") > LONG, F.concat(one(F.lit("long")), two(F.lit("long")))).otherwise(F.concat(one(), two(), three))
+    return cs.select("d", "sx", "sy", F.explode(keys).alias("k"))
+
+
 def _lists(docs: DataFrame, queries: DataFrame, vocab: DataFrame, n: float, cover: float) -> tuple[DataFrame, DataFrame]:
-    """Pairs on a common list (``q``, ``paper_id``, ``by_id``: by an identifier) and each query's word weights (``q``,
-    ``u``, ``idf``, ``rare``: one per word).
-
-    A word is rare if it is in at most sqrt(N) papers, so no list is longer than that. A candidate shares an identifier,
-    or a rare word and, word for word, ``cover`` of the weight of the query's title; words in no paper count as each of
-    the words they may be misspelt from, shortened ones weigh as a common word. Inverted lists are keyed by a rare word and another word of the same title; a
-    query is looked up under its rare word with its heaviest other words, as many as it takes for the remaining ones,
-    all of them, to fall short of ``cover``. So every candidate is on one of the lists looked up: the pruning is exact.
-    Shortened words and two edits in a word add to a candidate's score, but don't make one. Titles whose words are all
-    common can't single out a paper; for them the identifiers decide.
+    """Pairs on a common list (``q``, ``d``, ``by_id``: by an identifier) and each query's word weights (``q``, ``u``,
+    ``idf``: one per word).
+
+    A candidate shares an identifier or, word for word, ``cover`` of the weight of the query's title; words in no paper
+    count as each of the words they may be misspelt from, shortened ones weigh as a common word. A word is rare if it is
+    in at most sqrt(N) papers. Inverted lists are keyed by a rare word and another word of the same title; a query is
+    looked up under its rare word with its heaviest other words, as many as it takes for the remaining ones, all of them,
+    to fall short of ``cover``. Further lists are keyed by up to three common words, for candidates that share no rare
+    word: a query is looked up under the first three of its common words that a candidate can have, whichever of those
+    before are missing without ``cover`` getting out of reach. So every candidate is on one of the lists looked up: the
+    pruning is exact. A list of three common words can be long; what the words' bits exclude is dropped in the join.
+    Shortened words and two edits in a word add to a candidate's score, but don't make one.
     """
     most = math.sqrt(n)
     h = F.xxhash64
@@ -195,24 +267,33 @@ def _lists(docs: DataFrame, queries: DataFrame, vocab: DataFrame, n: float, cove
     known = cut(skew_join(occ, vocab, "word", "left", unique=True))
     fix = corrections(known.where("df is null").select("word").distinct(), vocab)
     fix = fix.join(vocab, fix["as_word"] == vocab["word"]).select(fix["word"], "as_word", "df")
-    best = fix.groupBy("word").agg(F.min("df").alias("fix_df"), F.collect_list("as_word").alias("fixes"))
-    spelt = known.join(best, "word", "left").withColumn("df", F.coalesce("df", "fix_df")).withColumn("idf", F.when(F.col("df").isNotNull(), idf).when(F.endswith("w", F.lit(".")), F.lit(math.log(n + 1) / 2)).otherwise(F.log(F.lit(n + 1.0))))
+    best = fix.groupBy("word").agg(F.min("df").alias("fix_df"), F.collect_list(F.struct("as_word", "df")).alias("fixes"))
+    spelt = known.join(best, "word", "left").withColumn("fixes", F.coalesce("fixes", F.array(F.struct(F.col("word").alias("as_word"), "df")))).withColumn("df", F.coalesce("df", "fix_df"))
+    spelt = spelt.withColumn("idf", F.when(F.col("df").isNotNull(), idf).when(F.endswith("w", F.lit(".")), F.lit(math.log(n + 1) / 2)).otherwise(F.log(F.lit(n + 1.0))))
     per = cut(spelt.groupBy("q").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "idf", F.col("df").isNotNull().alias("known"), (F.col("df") <= most).alias("rare"), F.coalesce("fixes", F.array("word")).alias("as_words")))).alias("u")
+        F.sort_array(F.collect_list(F.struct("pos", "idf", F.col("df").isNotNull().alias("known"), F.col("fixes.as_word").alias("as_words"), F.col("fixes.df").alias("dfs")))).alias("u")
     ))
-    weights = per.select("q", "u", F.transform("u", lambda x: x["idf"]).alias("idf"), F.transform("u", lambda x: F.coalesce(x["rare"], F.lit(False))).alias("rare"))
-    qk = _keys(per, cover).select("q", h("a", "b").alias("k")).distinct()
+    weights = per.select("q", "u", F.transform("u", lambda x: x["idf"]).alias("idf"))
+    keys = cut(_keys(per, cover, most))
 
+    qk = keys.where("not common").select("q", h("a", "b").alias("k")).distinct()
     rare = vocab.where(F.col("df") <= most).select("word")
-    each = docs.select("paper_id", F.array_distinct(F.transform("words", _bare)).alias("ws"))
-    posted = each.select("paper_id", "ws", F.explode("ws").alias("word")).join(rare, "word", "left_semi")
-    dk = posted.select("paper_id", "word", F.explode("ws").alias("b")).select("paper_id", h("word", "b").alias("k"))
-    found = [qk.join(dk, "k").select("q", "paper_id", F.lit(False).alias("by_id"))]
+    each = docs.select("d", F.array_distinct(F.transform("words", _bare)).alias("ws"))
+    posted = each.select("d", "ws", F.explode("ws").alias("word")).join(rare, "word", "left_semi")
+    dk = posted.select("d", "word", F.explode("ws").alias("b")).select("d", h("word", "b").alias("k"))
+    found = [qk.join(dk, "k").select("q", "d", F.lit(False).alias("by_id"))]
+
+    mark = lambda i: F.aggregate(F.filter("as_words", lambda _, j: F.get("dfs", j) > most), F.lit(0).cast("long"), lambda acc, w: acc.bitwiseOR(_bits(w)[i]))
+    marks = per.select("q", F.explode("u").alias("x")).select("q", "x.idf", "x.as_words", "x.dfs").select("q", "idf", mark(0).alias("x"), mark(1).alias("y")).groupBy("q").agg(F.collect_list(F.struct("idf", "x", "y")).alias("marks"), (F.sum("idf") * cover - 1e-9).alias("goal"))
+    both = keys.where("common").select("q", F.explode(F.array(h("a", "b", "c"), h(F.lit("long"), "a", "b"))).alias("k")).distinct()
+    lists = both.join(marks, "q").join(_common_lists(docs, vocab, most), "k")
+    bound = F.aggregate("marks", F.lit(0.0), lambda acc, m: acc + F.when(m["x"].bitwiseAND(F.col("sx")).bitwiseOR(m["y"].bitwiseAND(F.col("sy"))) != 0, m["idf"]).otherwise(0.0))
+    found.append(lists.where(bound >= F.col("goal")).select("q", "d", F.lit(False).alias("by_id")))
     for c in ("doi_k", "dblp"):
-        known_id = docs.where(F.col(c).isNotNull()).select(c, "paper_id")
+        known_id = docs.where(F.col(c).isNotNull()).select(c, "d")
         few = known_id.groupBy(c).agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= most).select(c)
-        found.append(queries.where(F.col(c).isNotNull()).select(c, "q").join(known_id.join(few, c, "left_semi"), c).select("q", "paper_id", F.lit(True).alias("by_id")))
-    pairs = found[0].unionByName(found[1]).unionByName(found[2]).groupBy("q", "paper_id").agg(F.max("by_id").alias("by_id"))
+        found.append(queries.where(F.col(c).isNotNull()).select(c, "q").join(known_id.join(few, c, "left_semi"), c).select("q", "d", F.lit(True).alias("by_id")))
+    pairs = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).groupBy("q", "d").agg(F.max("by_id").alias("by_id"))
     return pairs, weights
 
 
@@ -297,7 +378,7 @@ def align(query: list[str], doc: list[str], unknown: list[bool]) -> tuple[list[b
 
 _PAIR = T.StructType(
     [T.StructField("q", T.StringType()), T.StructField("paper_id", T.StringType())]
-    + [T.StructField(c, T.DoubleType()) for c in ("score", "own", "cover", "rare_hit", "extra", "missing", "years", "year_known", "doi_same", "doi_other", "dblp_same", "dblp_other")]
+    + [T.StructField(c, T.DoubleType()) for c in ("score", "own", "cover", "extra", "missing", "years", "year_known", "doi_same", "doi_other", "dblp_same", "dblp_other")]
 )
 #: The attributes of a pair the confidence is a function of, beside the score gap.
 FEATURES = ("gap", "cover", "extra", "missing", "years", "year_known")
@@ -324,7 +405,7 @@ def _score(pairs: DataFrame, mean_words: float, n: float) -> DataFrame:
                 known = y is not None and z is not None
                 # an extra word is one the paper lacks, at its weight; the last word of a cut title isn't one
                 row = (
-                    r["q"], r["paper_id"], got * sat + ident * (doi[0] + dblp[0]), own * (K1 + 1), got / own if own else 0.0, float(any(x and y for x, y in zip(hit, r["rare"] or []))),
+                    r["q"], r["paper_id"], got * sat + ident * (doi[0] + dblp[0]), own * (K1 + 1), got / own if own else 0.0,
                     float(len(words) - sum(hit)), spare / max(1, len(doc)), float(min(9, abs(y - z))) if known else 0.0, float(known), *doi, *dblp,
                 )
                 for c, x in zip(cols, row):
@@ -361,11 +442,11 @@ def match(detail: DataFrame, pubs: DataFrame, cover: float = COVER, confidence:
     """``paper_id``, ``element_id``, ``confidence``: pairs that are the same work; a publication has at most one.
 
     Records alike in all attributes are matched once and share the result. A publication without title words and
-    identifiers, or whose words are all common, is matched only by identifier. A work about a paper (words beyond the
+    identifiers isn't matched, one without title words only by identifier. A work about a paper (words beyond the
     paper's title, no identifier in common) isn't it. Equal scores: the paper of nearer year wins, then none (the gap
     is 0 and the confidence low). Empty tables give no rows. Null titles, years and identifiers are absent evidence.
     """
-    docs = cut(papers(detail))
+    docs = cut(papers(detail).withColumn("d", F.monotonically_increasing_id()))
     rows = publications(pubs)
     same = F.xxhash64(F.coalesce("words", F.array().cast("array<string>")), F.coalesce("year", F.lit(-1)), F.coalesce("dblp", F.lit("")), F.coalesce("doi_k", F.lit("")))
     rows = cut(rows.withColumn("q", F.hex(same)))
@@ -375,13 +456,13 @@ def match(detail: DataFrame, pubs: DataFrame, cover: float = COVER, confidence:
     vocab = cut(vocabulary(docs))
     cand, weights = _lists(docs, queries, vocab, n, cover)
     left = queries.join(weights, "q", "left")
-    right = docs.select("paper_id", *(F.col(c).alias(f"d_{c}") for c in ("words", "year", "dblp", "doi_k")))
-    pairs = cand.join(right, "paper_id").join(left, "q").withColumn("bare", F.transform("d_words", _bare))
+    right = docs.select("paper_id", "d", *(F.col(c).alias(f"d_{c}") for c in ("words", "year", "dblp", "doi_k")))
+    pairs = cand.join(right, "d").join(left, "q").withColumn("bare", F.transform("d_words", _bare))
     # what lies on a common list without reaching the goal goes before any Python runs
     enough = _word_cover("u", "bare") >= cover * F.aggregate("idf", F.lit(0.0), lambda a, x: a + x) - 1e-9
-    pairs = pairs.where(F.col("by_id") | F.coalesce(enough, F.lit(False))).drop("u", "bare", "by_id")
+    pairs = pairs.where(F.col("by_id") | F.coalesce(enough, F.lit(False))).drop("u", "bare", "by_id", "d")
     ident = F.lit(math.log(n + 1.0)) * (F.col("doi_same") + F.col("dblp_same"))
-    scored = cut(_score(pairs, mean, n).where(((F.col("cover") >= cover / 2) & (F.col("rare_hit") > 0)) | (F.col("doi_same") + F.col("dblp_same") > 0)).withColumn("ident", ident))
+    scored = cut(_score(pairs, mean, n).where((F.col("cover") >= cover / 2) | (F.col("doi_same") + F.col("dblp_same") > 0)).withColumn("ident", ident))
 
     # calibration: what the title alone says, on queries whose identifier names a paper
     ranked = _by_title(scored)

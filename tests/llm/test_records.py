@@ -174,3 +174,16 @@ def test_a_third_of_all_publications_is_alike(spark, works):
     both = p.unionByName(many.withColumn("k", F.lit(1)).join(one.withColumn("k", F.lit(1)), "k").drop("k"))
     got = {r.element_id: r.paper_id for r in match(d, both).collect()}
     assert all(got.get(f"c{i}") == "p1" for i in range(200)) and got["e1"] == "p1"
+
+
+def test_titles_of_common_words_only(spark):
+    """No word singles a paper out, the words together do; a title of very many words is found, too."""
+    import itertools
+
+    sets = list(itertools.combinations(["archives", "graphs", "profiling", "silos", "hierarchical", "patents", "linking", "caching"], 4))
+    long = [f"w{chr(97 + i)}{chr(97 + i)}x" for i in range(26)]
+    titles = [" ".join(s) for s in sets] + [" ".join(long[:25] + long[25:] * (i == 0)) for i in range(20)]
+    d = spark.createDataFrame([(f"p{i}", t, 2000, (None, None), None) for i, t in enumerate(titles)], "paper_id string, title string, year int, external_ids struct<dblp:string,doi:string>, fetched_at timestamp")
+    asked = [(f"e{i}", t, 2000, None, None) for i, t in enumerate(titles[: len(sets)])]
+    got = match(d, spark.createDataFrame(asked, "element_id string, title string, year int, doi string, dblp_key string"), confidence=0.0)
+    assert rows(got.select("paper_id", "element_id")) == sorted(((f"p{i}", f"e{i}") for i in range(len(sets))), key=repr)
