@@ -30,6 +30,8 @@ K1, B = 1.2, 0.3
 COVER = 0.6
 #: Common words of a title up to which it is listed under three of them; spellings up to which a word is looked up early.
 LONG, WIDE = 24, 8
+#: Words of a query that are counted one by one when a list is read.
+TERMS = 16
 #: Rows of labelled pairs the calibration is fitted on, at most; the parameter's bound.
 LABELLED = 20_000
 
@@ -128,6 +130,11 @@ def _deletes(word: str) -> Column:
     )
 
 
+def _less_one(w: Column) -> Column:
+    """The word and the word less each of its characters, of a word of at least one."""
+    return F.concat(F.array(w), F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w)))))
+
+
 def _bare(word: Column) -> Column:
     return F.regexp_replace(word, "[.…]$", "")
 
@@ -149,6 +156,44 @@ def corrections(unknown: DataFrame, vocab: DataFrame) -> DataFrame:
     return u.join(v, "d").where((F.levenshtein("word", "as_word", 1) >= 0) | ((F.levenshtein("word", "as_word", 2) == 2) & same_letters)).select("word", "as_word").distinct()
 
 
+def spellings(forms: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``form``, ``word``, ``as_word``, ``df``: the papers' words that ``align`` may take each query word for, by itself.
+
+    ``forms`` (``form``, ``word``, ``unknown``, ``last``, ``dot``): the word without its stop, whether it is in no paper
+    even after correction, ends its title, or is shortened. Errors up to two edits are found by shared deletions,
+    beginnings by a join on prefixes, words run together with their neighbour's by their parts. A superset of ``near``
+    and of what else ``align`` accepts, for words of at most 64 characters.
+    """
+    def deletes(w: str) -> Column:
+        return F.when(F.length(w) > 5, F.array_distinct(F.flatten(F.transform(_deletes(w), _less_one)))).otherwise(_deletes(w))
+
+    def within(df: DataFrame, w: str) -> DataFrame:
+        return df.where(F.length(w).between(4, 64))
+
+    v = vocab.select(F.col("word").alias("as_word"), "df")
+    out = [forms.select("form", "word").join(vocab, "word").select("form", F.col("word").alias("as_word"), "df")]
+    words = forms.groupBy("word").agg(F.max("unknown").alias("unknown"))
+    u = within(words, "word").select("word", "unknown", F.explode(deletes("word")).alias("d"))
+    pairs = u.join(within(v, "as_word").select("as_word", "df", F.explode(deletes("as_word")).alias("d")), "d").select("word", "unknown", "as_word", "df").distinct()
+    shorter = F.least(F.length("word"), F.length("as_word"))
+    same_letters = F.array_sort(F.split("word", "")) == F.array_sort(F.split("as_word", ""))
+    edits = F.levenshtein("word", "as_word", 2)
+    near_ = pairs.where(edits.between(0, 1) | ((edits == 2) & (same_letters | (shorter > 9) | (F.col("unknown") & (shorter > 5)))))
+    out.append(forms.select("form", "word", "unknown").join(near_.drop("unknown"), "word").select("form", "as_word", "df"))
+    w = F.col("word")
+    begins = F.array(F.when(F.col("last"), F.struct(w.alias("start"), F.lit("").alias("end"))), F.when(F.col("dot") & (F.length(w) >= 2), F.struct(F.substring(w, 1, 2).alias("start"), F.lit("").alias("end"))),
+                     F.when((F.length(w) > 3) & F.endswith(w, F.lit("s")), F.struct(F.substring(w, F.lit(1), F.length(w) - 1).alias("start"), F.lit("s").alias("end"))))
+    starts = v.select("as_word", "df", F.explode(F.transform(F.sequence(F.lit(1), F.length("as_word")), lambda i: F.substring("as_word", F.lit(1), i))).alias("start"))
+    out.append(forms.select("form", F.explode(begins).alias("b")).where("b is not null").select("form", "b.start", "b.end").join(starts, "start").where(F.endswith("as_word", F.col("end"))).select("form", "as_word", "df"))
+    torn = words.where(F.length("word") > 6).select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.struct(F.substring(w, F.lit(1), i).alias("as_word"), F.substring(w, i + 1, F.length(w)).alias("rest")))).alias("t"))
+    torn = torn.select("word", "t.as_word", "t.rest").join(v, "as_word").join(vocab.select(F.col("word").alias("rest")), "rest", "left_semi")
+    out.append(forms.select("form", "word").join(torn, "word").select("form", "as_word", "df"))
+    got = out[0]
+    for o in out[1:]:
+        got = got.unionByName(o)
+    return got.groupBy("form", "as_word").agg(F.max("df").alias("df"))
+
+
 def _keys(per: DataFrame, cover: float, most: float) -> DataFrame:
     """``q``, ``common``, ``a``, ``b``, ``c``: the words by which a query is looked up, see ``_lists``."""
     kind = T.StructType([T.StructField("q", T.StringType()), T.StructField("common", T.BooleanType()), *(T.StructField(c, T.StringType()) for c in ("a", "b", "c"))])
@@ -158,7 +203,7 @@ def _keys(per: DataFrame, cover: float, most: float) -> DataFrame:
             out: list[tuple] = []
             for q, u in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 goal = cover * sum(x["idf"] for x in u) - 1e-9
-                found = [x for x in u if x["known"]]
+                found = [x for x in u if x["as_words"]]
                 out += [(q, False, a, b, None) for a, b in _rare_keys(found, goal, most)]
                 out += [(q, True, *k, *[None] * (3 - len(k))) for k in _common_keys(found, goal, most)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 5, schema)], schema=schema)
@@ -230,15 +275,14 @@ def _bits(word: Column) -> tuple[Column, Column]:
     return F.when(at < 64, bit).otherwise(none), F.when(at >= 64, bit).otherwise(none)
 
 
-def _common_lists(docs: DataFrame, vocab: DataFrame, most: float) -> DataFrame:
-    """``k``, ``d``, ``sx``, ``sy``: the papers under each one, two or three common words of theirs, with the bits of all.
+def _common_lists(each: DataFrame, vocab: DataFrame, most: float) -> DataFrame:
+    """``k``, ``d``, ``sx``, ``sy``: the papers under each one, two or three common words of theirs.
 
     A title of more than LONG common words is under one and two words only; queries look these up, too.
     """
     h = F.xxhash64
-    common = vocab.where(F.col("df") > most).select("word", *(c.alias(n) for c, n in zip(_bits(F.col("word")), ("x", "y"))))
-    each = docs.select("d", F.explode(F.array_distinct(F.transform("words", _bare))).alias("word"))
-    cs = skew_join(each, common, "word", "inner", unique=True).groupBy("d").agg(F.array_sort(F.collect_list("word")).alias("cs"), F.bit_or("x").alias("sx"), F.bit_or("y").alias("sy"))
+    common = vocab.where(F.col("df") > most).select("word")
+    cs = skew_join(each.select("d", "sx", "sy", F.explode("ws").alias("word")), common, "word", "inner", unique=True).groupBy("d").agg(F.array_sort(F.collect_list("word")).alias("cs"), F.first("sx").alias("sx"), F.first("sy").alias("sy"))
     one = lambda *tag: F.transform("cs", lambda x: h(*tag, x))
     two = lambda *tag: F.flatten(F.transform("cs", lambda x, i: F.transform(F.slice("cs", i + 2, F.size("cs")), lambda y: h(*tag, x, y))))
     three = F.flatten(F.flatten(F.transform("cs", lambda x, i: F.transform(F.slice("cs", i + 2, F.size("cs")), lambda y, j: F.transform(F.slice("cs", i + j + 3, F.size("cs")), lambda z: h(x, y, z))))))
@@ -246,49 +290,66 @@ def _common_lists(docs: DataFrame, vocab: DataFrame, most: float) -> DataFrame:
     return cs.select("d", "sx", "sy", F.explode(keys).alias("k"))
 
 
+def _marked(words: str) -> list[Column]:
+    """``sx``, ``sy``: the bits of all the words of an array."""
+    return [F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseOR(_bits(w)[0])).alias("sx"), F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseOR(_bits(w)[1])).alias("sy")]
+
+
 def _lists(docs: DataFrame, queries: DataFrame, vocab: DataFrame, n: float, cover: float) -> tuple[DataFrame, DataFrame]:
-    """Pairs on a common list (``q``, ``d``, ``by_id``: by an identifier) and each query's word weights (``q``, ``u``,
-    ``idf``: one per word).
+    """Pairs on a common list (``q``, ``d``, ``by_id``: by an identifier) and each query's word weights (``q``, ``idf``: one
+    per word).
 
-    A candidate shares an identifier or, word for word, ``cover`` of the weight of the query's title; words in no paper
-    count as each of the words they may be misspelt from, shortened ones weigh as a common word. A word is rare if it is
+    A candidate shares an identifier or ``cover`` of the weight of the query's title as ``align`` sees it: each word
+    counts as all of the papers' words it may be taken for (``spellings``, and run together with a neighbour), shortened
+    ones in no paper weigh as a common word. A word is rare if it is
     in at most sqrt(N) papers. Inverted lists are keyed by a rare word and another word of the same title; a query is
     looked up under its rare word with its heaviest other words, as many as it takes for the remaining ones, all of them,
     to fall short of ``cover``. Further lists are keyed by up to three common words, for candidates that share no rare
     word: a query is looked up under the first three of its common words that a candidate can have, whichever of those
     before are missing without ``cover`` getting out of reach. So every candidate is on one of the lists looked up: the
-    pruning is exact. A list of three common words can be long; what the words' bits exclude is dropped in the join.
-    Shortened words and two edits in a word add to a candidate's score, but don't make one.
+    pruning is exact. A list of three common words can be long; what the words' bits show to fall short of ``cover`` is
+    dropped in the join; the bits of one word can stand for another, but never less is counted than there is.
     """
     most = math.sqrt(n)
     h = F.xxhash64
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    occ = queries.select("q", F.posexplode("words").alias("pos", "w")).withColumn("word", _bare(F.col("w")))
+    before, after = F.get("words", F.col("pos") - 1), F.get("words", F.col("pos") + 1)
+    occ = queries.select("q", "words", F.posexplode("words").alias("pos", "w")).withColumn("word", _bare(F.col("w")))
+    occ = occ.select("q", "pos", "w", "word", after.isNull().alias("last"), F.array_compact(F.array(F.concat(_bare(before), "word"), F.concat("word", _bare(after)))).alias("pairs"))
     known = cut(skew_join(occ, vocab, "word", "left", unique=True))
     fix = corrections(known.where("df is null").select("word").distinct(), vocab)
-    fix = fix.join(vocab, fix["as_word"] == vocab["word"]).select(fix["word"], "as_word", "df")
-    best = fix.groupBy("word").agg(F.min("df").alias("fix_df"), F.collect_list(F.struct("as_word", "df")).alias("fixes"))
-    spelt = known.join(best, "word", "left").withColumn("fixes", F.coalesce("fixes", F.array(F.struct(F.col("word").alias("as_word"), "df")))).withColumn("df", F.coalesce("df", "fix_df"))
-    spelt = spelt.withColumn("idf", F.when(F.col("df").isNotNull(), idf).when(F.endswith("w", F.lit(".")), F.lit(math.log(n + 1) / 2)).otherwise(F.log(F.lit(n + 1.0))))
-    per = cut(spelt.groupBy("q").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "idf", F.col("df").isNotNull().alias("known"), F.col("fixes.as_word").alias("as_words"), F.col("fixes.df").alias("dfs")))).alias("u")
-    ))
-    weights = per.select("q", "u", F.transform("u", lambda x: x["idf"]).alias("idf"))
+    fix = fix.join(vocab, fix["as_word"] == vocab["word"]).groupBy(fix["word"]).agg(F.min("df").alias("fix_df"))
+    ident = F.log(F.lit(n + 1.0))
+    spelt = known.join(fix, "word", "left").withColumn("df", F.coalesce("df", "fix_df"))
+    spelt = spelt.withColumn("idf", F.when(F.col("df").isNotNull(), idf).when(F.endswith("w", F.lit(".")), F.lit(math.log(n + 1) / 2)).otherwise(ident))
+    kinds = {"unknown": F.col("idf") >= ident, "last": F.col("last"), "dot": F.endswith("w", F.lit("."))}
+    spelt = cut(spelt.select("q", "pos", "word", "pairs", "idf", *(c.alias(k) for k, c in kinds.items())).withColumn("form", F.concat_ws(" ", "word", *(F.col(k).cast("string") for k in kinds))))
+    forms = spelt.select("form", "word", *kinds).distinct()
+    alike = cut(spellings(forms, vocab).groupBy("form").agg(F.collect_list(F.struct("as_word", "df")).alias("fixes")))
+    joined = spelt.select("q", "pos", F.explode("pairs").alias("word")).join(vocab, "word").groupBy("q", "pos").agg(F.collect_list(F.struct(F.col("word").alias("as_word"), "df")).alias("more"))
+    none = F.array().cast("array<struct<as_word:string,df:bigint>>")
+    spelt = skew_join(spelt, alike, "form", "left", unique=True).join(joined, ["q", "pos"], "left").withColumn("fixes", F.concat(F.coalesce("fixes", none), F.coalesce("more", none)))
+    per = cut(spelt.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("pos", "idf", F.col("fixes.as_word").alias("as_words"), F.col("fixes.df").alias("dfs")))).alias("u")))
+    weights = per.select("q", F.transform("u", lambda x: x["idf"]).alias("idf"))
     keys = cut(_keys(per, cover, most))
 
-    qk = keys.where("not common").select("q", h("a", "b").alias("k")).distinct()
-    rare = vocab.where(F.col("df") <= most).select("word")
     each = docs.select("d", F.array_distinct(F.transform("words", _bare)).alias("ws"))
-    posted = each.select("d", "ws", F.explode("ws").alias("word")).join(rare, "word", "left_semi")
-    dk = posted.select("d", "word", F.explode("ws").alias("b")).select("d", h("word", "b").alias("k"))
-    found = [qk.join(dk, "k").select("q", "d", F.lit(False).alias("by_id"))]
+    each = cut(each.select("d", "ws", *_marked("ws")))
+    marks = per.select("q", F.explode("u").alias("x")).select("q", "x.idf", *_marked("x.as_words"))
+    some = F.col("sx").bitwiseOR(F.col("sy")) != 0
+    marks = marks.groupBy("q").agg(F.sort_array(F.collect_list(F.when(some, F.struct("idf", "sx", "sy"))), asc=False).alias("m"), (F.sum("idf") * cover - 1e-9).alias("goal"))
+    # the lightest words beyond TERMS count as there
+    beyond = F.aggregate(F.slice("m", TERMS + 1, F.greatest(F.size("m"), F.lit(1))), F.lit(0.0), lambda acc, x: acc + x["idf"])
+    marks = cut(marks.select("q", F.col("m.idf").alias("mi"), F.col("m.sx").alias("mx"), F.col("m.sy").alias("my"), (F.col("goal") - beyond).alias("goal")))
+    at = lambda c, i: F.get(F.col(c), F.lit(i))
+    bound = sum((F.when(at("mx", i).bitwiseAND(F.col("sx")).bitwiseOR(at("my", i).bitwiseAND(F.col("sy"))) != 0, at("mi", i)).otherwise(0.0) for i in range(TERMS)), F.lit(0.0))
 
-    mark = lambda i: F.aggregate(F.filter("as_words", lambda _, j: F.get("dfs", j) > most), F.lit(0).cast("long"), lambda acc, w: acc.bitwiseOR(_bits(w)[i]))
-    marks = per.select("q", F.explode("u").alias("x")).select("q", "x.idf", "x.as_words", "x.dfs").select("q", "idf", mark(0).alias("x"), mark(1).alias("y")).groupBy("q").agg(F.collect_list(F.struct("idf", "x", "y")).alias("marks"), (F.sum("idf") * cover - 1e-9).alias("goal"))
+    qk = keys.where("not common").select("q", h("a", "b").alias("k")).distinct()
+    rare = vocab.where(F.col("df") <= most).select("word")
+    posted = each.select("d", "ws", "sx", "sy", F.explode("ws").alias("word")).join(rare, "word", "left_semi")
+    dk = posted.select("d", "sx", "sy", "word", F.explode("ws").alias("b")).select("d", "sx", "sy", h("word", "b").alias("k"))
     both = keys.where("common").select("q", F.explode(F.array(h("a", "b", "c"), h(F.lit("long"), "a", "b"))).alias("k")).distinct()
-    lists = both.join(marks, "q").join(_common_lists(docs, vocab, most), "k")
-    bound = F.aggregate("marks", F.lit(0.0), lambda acc, m: acc + F.when(m["x"].bitwiseAND(F.col("sx")).bitwiseOR(m["y"].bitwiseAND(F.col("sy"))) != 0, m["idf"]).otherwise(0.0))
-    found.append(lists.where(bound >= F.col("goal")).select("q", "d", F.lit(False).alias("by_id")))
+    found = [x.join(marks, "q").join(y, "k").where(bound >= F.col("goal")).select("q", "d", F.lit(False).alias("by_id")) for x, y in ((qk, dk), (both, _common_lists(each, vocab, most)))]
     for c in ("doi_k", "dblp"):
         known_id = docs.where(F.col(c).isNotNull()).select(c, "d")
         few = known_id.groupBy(c).agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= most).select(c)
@@ -297,11 +358,6 @@ def _lists(docs: DataFrame, queries: DataFrame, vocab: DataFrame, n: float, cove
     return pairs, weights
 
 
-def _word_cover(u: str, doc_words: str) -> Column:
-    """The weight of the query's words that the document has in one of their spellings, word for word."""
-    return F.aggregate(u, F.lit(0.0), lambda acc, x: acc + F.when(F.arrays_overlap(x["as_words"], F.col(doc_words)), x["idf"]).otherwise(0.0))
-
-
 def near(a: str, b: str, unknown: bool = False) -> bool:
     """Whether two different words are one edit or one swap apart; two for words of more than nine characters, and for
     those of more than five if ``a`` is no known word."""
@@ -457,12 +513,9 @@ def match(detail: DataFrame, pubs: DataFrame, cover: float = COVER, confidence:
     cand, weights = _lists(docs, queries, vocab, n, cover)
     left = queries.join(weights, "q", "left")
     right = docs.select("paper_id", "d", *(F.col(c).alias(f"d_{c}") for c in ("words", "year", "dblp", "doi_k")))
-    pairs = cand.join(right, "d").join(left, "q").withColumn("bare", F.transform("d_words", _bare))
-    # what lies on a common list without reaching the goal goes before any Python runs
-    enough = _word_cover("u", "bare") >= cover * F.aggregate("idf", F.lit(0.0), lambda a, x: a + x) - 1e-9
-    pairs = pairs.where(F.col("by_id") | F.coalesce(enough, F.lit(False))).drop("u", "bare", "by_id", "d")
+    pairs = cand.join(right, "d").join(left, "q").drop("by_id", "d")
     ident = F.lit(math.log(n + 1.0)) * (F.col("doi_same") + F.col("dblp_same"))
-    scored = cut(_score(pairs, mean, n).where((F.col("cover") >= cover / 2) | (F.col("doi_same") + F.col("dblp_same") > 0)).withColumn("ident", ident))
+    scored = cut(_score(pairs, mean, n).where((F.col("cover") >= cover - 1e-9) | (F.col("doi_same") + F.col("dblp_same") > 0)).withColumn("ident", ident))
 
     # calibration: what the title alone says, on queries whose identifier names a paper
     ranked = _by_title(scored)

@@ -187,3 +187,13 @@ def test_titles_of_common_words_only(spark):
     asked = [(f"e{i}", t, 2000, None, None) for i, t in enumerate(titles[: len(sets)])]
     got = match(d, spark.createDataFrame(asked, "element_id string, title string, year int, doi string, dblp_key string"), confidence=0.0)
     assert rows(got.select("paper_id", "element_id")) == sorted(((f"p{i}", f"e{i}") for i in range(len(sets))), key=repr)
+
+
+def test_cut_and_misspelt_titles_are_candidates(spark):
+    """What reaches the goal only as it is aligned: a cut end, shortened words, two errors in a word, words run together."""
+    titles = ["Kuzaskobus, a toolkit for linking and crawling of author networks"] + [f"Toolkit for {a} of {b}" for a in ("profiling", "caching") for b in ("archives", "venues", "silos")]
+    asked = {"cut": "Kuzaskobus, a toolkit for lin", "end": "Kuzask…", "two": "Kuzeskabus", "run": "Kuzaskobustoolkit", "short": "Kuzaskobus t. f. lin. crawl. auth. netw."}
+    d = spark.createDataFrame([(f"p{i}", t, 2000, (None, None), None) for i, t in enumerate(titles)], "paper_id string, title string, year int, external_ids struct<dblp:string,doi:string>, fetched_at timestamp")
+    p = spark.createDataFrame([(e, t, 2000, None, None) for e, t in asked.items()], "element_id string, title string, year int, doi string, dblp_key string")
+    got = {r.element_id: r.paper_id for r in match(d, p, confidence=0.0).collect()}
+    assert got == dict.fromkeys(asked, "p0")
