@@ -31,8 +31,12 @@ Q, RECALL = 2, 0.99
 FAMILY_BANDS, GIVEN_BANDS = (5, 0.6), (3, 0.4)
 #: A given name is a misspelling only if its star is so many times as frequent.
 GIVEN_RATIO = 5
-#: Monge-Elkan similarity of a misspelt name to the spelling it is attached to, at least.
-ALIKE = 0.9
+#: Monge-Elkan similarity of a misspelt name to the spelling it is attached to, at least: by default what the edits
+#: allowed leave in words of its length.
+ALIKE = None
+#: Fewest letters of a family name's word in which an edit is taken as a misspelling; below, names one edit apart are
+#: mostly different ones (Wang, Yang).
+SHORTEST = 5
 
 #: Words that don't name an institution.
 INSTITUTION_WORDS = frozenset(
@@ -206,12 +210,21 @@ def monge_elkan(a: str, b: str) -> float:
     return min(sum(max(like(u, v) for v in y) for u in x) / len(x), sum(max(like(u, v) for u in x) for v in y) / len(y))
 
 
-def spelling_stars(spellings: DataFrame, rows: int, least: float, ratio: int = 2, recall: float = RECALL, alike: float = ALIKE) -> DataFrame:
+def allowed_edits(u: str, v: str) -> int:
+    return 2 if min(len(u), len(v)) >= 10 else 1
+
+
+def floor_of(x: list[str], y: list[str]) -> float:
+    """The Monge-Elkan similarity that the edits allowed leave, word by word; none are in words of under SHORTEST letters."""
+    return sum(1 - (allowed_edits(u, v) / max(len(u), len(v)) if min(len(u), len(v)) >= SHORTEST - 1 and max(len(u), len(v)) >= SHORTEST else 0) for u, v in zip(x, y)) / max(1, len(x))
+
+
+def spelling_stars(spellings: DataFrame, rows: int, least: float, ratio: int = 2, recall: float = RECALL, alike: float | None = ALIKE) -> DataFrame:
     """``word``, ``star``: each misspelling in ``spellings`` (``word``, ``n``) and the spelling it is attached to.
 
     Candidates collide in one of ``bands_for(recall, least, rows)`` bands of MinHash values over padded q-grams; a
     misspelling goes to the most similar candidate that is at least ``ratio`` times as frequent, ``alike`` by
-    Monge-Elkan and no more than one edit or swap a word away (two in words of ten or more characters). Stars keep their spelling, so a
+    Monge-Elkan (by default ``floor_of``) and no more than one edit or swap a word away (two in words of ten or more characters). Stars keep their spelling, so a
     chain of misspellings doesn't drift. Within a band only the more frequent spellings meet rarer ones: a join of the
     distinct spellings, not of records.
     """
@@ -251,9 +264,9 @@ def spelling_stars(spellings: DataFrame, rows: int, least: float, ratio: int = 2
             good = []
             for w, s, m in zip(*(c.to_pylist() for c in b.columns)):
                 x, y = w.split(), s.split()
-                if len(x) == len(y) and all(edits(u, v) <= (2 if min(len(u), len(v)) >= 10 else 1) for u, v in zip(x, y)):
+                if len(x) == len(y) and all(edits(u, v) <= allowed_edits(u, v) for u, v in zip(x, y)):
                     sim = monge_elkan(w, s)
-                    if sim >= alike:
+                    if sim >= (floor_of(x, y) - 1e-9 if alike is None else alike):
                         good.append((w, s, m, sim))
             cols = list(zip(*good)) if good else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.float64()))], names=kept.names)

@@ -49,6 +49,13 @@ def test_stars(spark):
     assert got == {("bradeklnwala", "bradekluwala"), ("bradekluwla", "bradekluwala"), ("plesutsulu", "plesutsulul"), ("shorx", "short")}
 
 
+def test_short_family_names(spark):
+    """One edit or swap counts in names of fewer than ten letters, too, but not in those of four."""
+    words = [("johnson", 20), ("jonhson", 1), ("smith", 30), ("smiht", 1), ("smyth", 2), ("wang", 50), ("yang", 9), ("brown", 9), ("braun", 1)]
+    got = {tuple(r) for r in spelling_stars(spark.createDataFrame(words, "word string, n bigint"), 2, 0.3).collect()}
+    assert got == {("jonhson", "johnson"), ("smiht", "smith"), ("smyth", "smith")}
+
+
 PEOPLE = [
     # one person in many spellings
     ("01", "Katarzyna Dupöklober", None, ["Univ. of Nibernudat"], None), ("02", "K Dupöklober", "https://people.nibernudat.example/~kd3", None, None), ("03", "Kasia Dupoklober", None, ["U. Nibernudat"], None),
