@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
+from .match import _deletes, _less_one
 
 #: Q-gram length and recall wanted of the banding.
 Q, RECALL = 2, 0.99
-#: Rows per band, and the least q-gram similarity that an edit or a swap leaves: of family names, of given names.
-FAMILY_BANDS, GIVEN_BANDS = (5, 0.6), (3, 0.4)
+#: Rows per band, and the q-gram similarity that a swap leaves at least: of family names of nine letters, of given names.
+#: Shorter ones and what the bands miss are met by shared deletions.
+FAMILY_BANDS, GIVEN_BANDS = (5, 0.54), (3, 0.4)
 #: A given name is a misspelling only if its star is so many times as frequent.
 GIVEN_RATIO = 5
 #: Monge-Elkan similarity of a misspelt name to the spelling it is attached to, at least: by default what the edits
@@ -222,7 +224,8 @@ def floor_of(x: list[str], y: list[str]) -> float:
 def spelling_stars(spellings: DataFrame, rows: int, least: float, ratio: int = 2, recall: float = RECALL, alike: float | None = ALIKE) -> DataFrame:
     """``word``, ``star``: each misspelling in ``spellings`` (``word``, ``n``) and the spelling it is attached to.
 
-    Candidates collide in one of ``bands_for(recall, least, rows)`` bands of MinHash values over padded q-grams; a
+    Candidates collide in one of ``bands_for(recall, least, rows)`` bands of MinHash values over padded q-grams, or share
+    what deletions leave of them (exact for two edits or swaps in all, in spellings of at most 64 characters); a
     misspelling goes to the most similar candidate that is at least ``ratio`` times as frequent, ``alike`` by
     Monge-Elkan (by default ``floor_of``) and no more than one edit or swap a word away (two in words of ten or more characters). Stars keep their spelling, so a
     chain of misspellings doesn't drift. Within a band only the more frequent spellings meet rarer ones: a join of the
@@ -256,7 +259,11 @@ def spelling_stars(spellings: DataFrame, rows: int, least: float, ratio: int = 2
     rare = sig.select("word", "n", "band")
     # in a bucket, spellings of the same frequency can't attach to each other
     often = sig.where(F.col("n") >= ratio).select(F.col("word").alias("star"), F.col("n").alias("m"), "band")
-    met = rare.join(often, "band").where(F.col("m") >= ratio * F.col("n")).where(F.abs(F.length("word") - F.length("star")) <= 2).select("word", "star", "m").distinct()
+    met = rare.join(often, "band").where(F.col("m") >= ratio * F.col("n")).where(F.abs(F.length("word") - F.length("star")) <= 2).select("word", "star", "m")
+    less = F.when(F.length("word") > 7, F.array_distinct(F.flatten(F.transform(_deletes("word"), _less_one)))).otherwise(_deletes("word"))
+    left = spellings.where(F.length("word").between(4, 64)).select("word", F.col("n").cast("bigint").alias("n"), F.explode(less).alias("d"))
+    stars = left.where(F.col("n") >= ratio).select(F.col("word").alias("star"), F.col("n").alias("m"), "d")
+    met = met.unionByName(left.join(stars, "d").where(F.col("m") >= ratio * F.col("n")).where(F.levenshtein("word", "star", 4) >= 0).select("word", "star", "m")).distinct()
     kept = T.StructType([*met.schema.fields, T.StructField("sim", T.DoubleType())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -49,6 +49,20 @@ def test_stars(spark):
     assert got == {("bradeklnwala", "bradekluwala"), ("bradekluwla", "bradekluwala"), ("plesutsulu", "plesutsulul"), ("shorx", "short")}
 
 
+def test_every_edit_is_met(spark):
+    """Misspellings that the bands all but never bring together are found: here there is one band of 40 rows."""
+    rnd = random.Random(4)
+    words, want = [], set()
+    for _ in range(60):
+        w = "".join(rnd.choice("abcdefghiklmnoprstuvz") for _ in range(rnd.randrange(6, 13)))
+        i = rnd.randrange(1, len(w) - 3)
+        x = rnd.choice([w[:i] + w[i + 1 :], w[:i] + "q" + w[i:], w[:i] + w[i + 1] + w[i] + w[i + 2 :] if w[i] != w[i + 1] else w[:i] + "q" + w[i + 1 :]])
+        words += [(w, 20), (x, 1)]
+        want.add((x, w))
+    got = {tuple(r) for r in spelling_stars(spark.createDataFrame(words, "word string, n bigint"), 40, 0.999).collect()}
+    assert got == want
+
+
 def test_short_family_names(spark):
     """One edit or swap counts in names of fewer than ten letters, too, but not in those of four."""
     words = [("johnson", 20), ("jonhson", 1), ("smith", 30), ("smiht", 1), ("smyth", 2), ("wang", 50), ("yang", 9), ("brown", 9), ("braun", 1)]
