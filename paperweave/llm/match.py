@@ -352,8 +352,7 @@ def _lists(docs: DataFrame, queries: DataFrame, vocab: DataFrame, n: float, cove
     found = [x.join(marks, "q").join(y, "k").where(bound >= F.col("goal")).select("q", "d", F.lit(False).alias("by_id")) for x, y in ((qk, dk), (both, _common_lists(each, vocab, most)))]
     for c in ("doi_k", "dblp"):
         known_id = docs.where(F.col(c).isNotNull()).select(c, "d")
-        few = known_id.groupBy(c).agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= most).select(c)
-        found.append(queries.where(F.col(c).isNotNull()).select(c, "q").join(known_id.join(few, c, "left_semi"), c).select("q", "d", F.lit(True).alias("by_id")))
+        found.append(skew_join(queries.where(F.col(c).isNotNull()).select(c, "q"), known_id, c, "inner").select("q", "d", F.lit(True).alias("by_id")))
     pairs = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).groupBy("q", "d").agg(F.max("by_id").alias("by_id"))
     return pairs, weights
 

@@ -197,3 +197,10 @@ def test_cut_and_misspelt_titles_are_candidates(spark):
     p = spark.createDataFrame([(e, t, 2000, None, None) for e, t in asked.items()], "element_id string, title string, year int, doi string, dblp_key string")
     got = {r.element_id: r.paper_id for r in match(d, p, confidence=0.0).collect()}
     assert got == dict.fromkeys(asked, "p0")
+
+
+def test_identifier_of_many_papers(spark):
+    """An identifier that more than sqrt(N) papers carry still names its papers; the nearest year decides."""
+    d = spark.createDataFrame([(f"p{i}", f"Volume {i}", 1990 + i, (None, "10.1/many"), None) for i in range(30)], "paper_id string, title string, year int, external_ids struct<dblp:string,doi:string>, fetched_at timestamp")
+    p = spark.createDataFrame([("e", None, 2003, "10.1/many", None)], "element_id string, title string, year int, doi string, dblp_key string")
+    assert rows(match(d, p).select("paper_id", "element_id")) == [("p13", "e")]
