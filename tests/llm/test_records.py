@@ -204,3 +204,59 @@ def test_identifier_of_many_papers(spark):
     d = spark.createDataFrame([(f"p{i}", f"Volume {i}", 1990 + i, (None, "10.1/many"), None) for i in range(30)], "paper_id string, title string, year int, external_ids struct<dblp:string,doi:string>, fetched_at timestamp")
     p = spark.createDataFrame([("e", None, 2003, "10.1/many", None)], "element_id string, title string, year int, doi string, dblp_key string")
     assert rows(match(d, p).select("paper_id", "element_id")) == [("p13", "e")]
+
+
+WORKS = "paper_id string, title string, year int, external_ids struct<dblp:string,doi:string>, fetched_at timestamp"
+ASKED = "element_id string, title string, year int, doi string, dblp_key string"
+
+
+def test_all_equal_titles_of_common_words_are_found(spark):
+    """Twelve words of twenty each, none rare, no identifiers: every publication finds the paper of the same words."""
+    rnd = random.Random(3)
+    words = [a + b for a in ("cita", "gra", "arch", "net", "patt") for b in ("ling", "dex", "port", "view")]
+    titles = list(dict.fromkeys(" ".join(sorted(rnd.sample(words, 12))) for _ in range(230)))[:200]
+    d = spark.createDataFrame([(f"p{i}", t, None, (None, None), None) for i, t in enumerate(titles)], WORKS)
+    p = spark.createDataFrame([(f"e{i}", t, None, None, None) for i, t in enumerate(titles)], ASKED)
+    got = {r.element_id: r.paper_id for r in match(d, p).collect()}
+    assert got == {f"e{i}": f"p{i}" for i in range(len(titles))}
+    shared = spark.createDataFrame([(f"p{i}", t, None, (None, "10.1/x" if i < 20 else None), None) for i, t in enumerate(titles)], WORKS)
+    one = spark.createDataFrame([("e", titles[7], None, "10.1/x", None)], ASKED)
+    assert rows(match(shared, one).select("paper_id", "element_id")) == [("p7", "e")]
+
+
+def test_candidates_are_all_that_reach_the_floor(spark):
+    """Against brute force over all pairs of titles, misspelt, cut, shortened, long and repeated words among them."""
+    from pyspark.sql import functions as F
+
+    from paperweave.llm import match as M
+
+    rnd = random.Random(11)
+    words = ["archives", "graphs", "profiling", "silos", "linking", "caching", "venues", "mining", "of", "for", "on", "kuzaskobus", "tamelovik", "rasopilum", "veturamok"]
+    long = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}q" for i in range(70)]
+    titles = list({tuple(rnd.sample(words, rnd.randint(2, 8))) for _ in range(150)}) + [tuple(long), tuple(long[:60]), ("of", "of", "graphs")]
+
+    def spoilt(t):
+        t = list(t)
+        k = rnd.randrange(len(t))
+        w = t[k]
+        t[k] = rnd.choice([w, w[:-1], w[0] + w[2:1:-1] + w[1] + w[3:] if len(w) > 4 else w, w[:4] + ".", w + "x", w * 2, w[:3] + "zz" + w[3:]])
+        t = t[: rnd.randint(max(1, len(t) - 3), len(t))]
+        return tuple(t + ([t[-1]] if rnd.random() < 0.1 else []))
+
+    asked = list({spoilt(rnd.choice(titles)) for _ in range(300)})
+    asked = [tuple(M.title_words(" ".join(t))) for t in asked]
+    asked = [t for t in dict.fromkeys(asked) if t]
+    d = spark.createDataFrame(list(enumerate(map(list, titles))), "td long, words array<string>")
+    q = spark.createDataFrame(list(enumerate(map(list, asked))), "tq long, words array<string>")
+    slots = M.query_slots(q, M.vocabulary(d), float(len(titles)))
+    for floor in (0.5, 0.75):
+        got = {(r.tq, r.td) for r in M.candidates(slots, d, floor).collect()}
+        want = 0
+        for r in slots.collect():
+            weights, unknown = [s["weight"] for s in r.slots], [not s["known"] for s in r.slots]
+            for i, t in enumerate(titles):
+                hit, _ = M.align(r.words, list(t), unknown)
+                if sum(weights) and sum(w for w, x in zip(weights, hit) if x) >= floor * sum(weights):
+                    want += 1
+                    assert (r.tq, i) in got, (floor, r.words, t)
+        assert want > 100 and F is not None
