@@ -50,7 +50,8 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, a laptop) a temporary folder is made and set as checkpoint folder.
+    Only where that is unset and everything runs on this machine (tests, a laptop) a temporary folder is made and set as
+    checkpoint folder; on a cluster that is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
@@ -59,23 +60,36 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return os.path.dirname(held.get().rstrip("/"))
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="paperweave-")
     sc.setCheckpointDir(own)
     return own
 
 
+_OURS: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/paperweave/{what}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder; deleted when the session's process ends."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _OURS:
+        base = _OURS[sc.applicationId] = f"{shared_dir(spark).rstrip('/')}/paperweave/{sc.applicationId}-{uuid.uuid4().hex[:8]}"
+        p = sc._jvm.org.apache.hadoop.fs.Path(base)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return f"{_OURS[sc.applicationId]}/{what}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there (reliable checkpoint).
+    """Write ``df`` as a table in the shared folder and go on from there.
 
-    Survives the loss of executors, and what reads the result twice doesn't compute it twice.
+    Survives the loss of executors, what reads the result twice doesn't compute it twice (nor does the writing, as an
+    eager checkpoint would), and its size is known to the planner.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
