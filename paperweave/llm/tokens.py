@@ -1,15 +1,14 @@
 """Encoding of whole texts with a public byte-level BPE vocabulary, as a bounded-lookahead streaming transducer.
 
-Three layers, each of which emits once what it emits can't change any more:
+Every text goes through ``StreamEncoder``, a window at a time; what it emits can't be changed by anything that follows:
 
-* ``StreamEncoder`` cuts the text at places that are token boundaries whatever follows (white space after a letter or
-  digit; else a boundary of the vocabulary's split pattern that is settled), so at most ``window`` characters wait.
-* Between such places the native encoder of the vocabulary does the merging.
-* ``MergeTransducer`` handles a single unbroken run longer than the window: from the merge list it knows the longest
-  token, hence how far back the last token of any prefix can begin; it emits tokens as soon as the paths from all those
-  places agree.
+* up to the last place in what has been read that is a token boundary whatever follows (white space after a letter, digit or
+  printable sign, else a boundary of the vocabulary's split pattern that is settled), the native encoder gives the tokens;
+* a single piece that fills the window goes through ``MergeTransducer``: from the merge list it is computed how many bytes
+  of lookahead are sufficient (``sufficient_lookahead``); tokens that end so far before the end are stable and come out.
 
-``StreamDecoder`` is the way back: an incremental byte-to-text state machine.
+So at most the window, its next block and the lookahead wait, however long a text or a piece is. ``StreamDecoder`` is the
+way back: an incremental byte-to-text state machine.
 """
 
 from __future__ import annotations
@@ -18,11 +17,12 @@ import base64
 import codecs
 import os
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -30,10 +30,14 @@ from pyspark.sql import types as T
 TOKENIZER_DIR = os.environ.get("PAPERWEAVE_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k"
 #: Characters that may wait for a boundary.
-WINDOW = 1 << 16
+WINDOW = 1 << 12
 #: Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+_SPLIT = regex.compile(PATTERN)
+#: What continues an open piece: white space first.
+_RUNS = tuple(regex.compile(p) for p in (r"\s*", r"\p{L}*", r"\p{N}*", r"[^\s\p{L}\p{N}]*"))
+
 
 class Vocabulary:
     """A vocabulary of byte-level BPE ranks, with its native encoder."""
@@ -48,26 +52,17 @@ class Vocabulary:
         self.lengths = np.zeros(max(self.bytes_of) + 1, np.int64)
         for i, b in self.bytes_of.items():
             self.lengths[i] = len(b)
-        #: Bytes of the longest token: no token of any prefix begins further back than this from the prefix's end.
+        #: Bytes of the longest token.
         self.lookback = max(map(len, self.ranks))
-        by_end: dict[bytes, set[int]] = {}
-        for b in self.ranks:
-            by_end.setdefault(b[-2:], set()).add(len(b))
-        self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in by_end.items()}
-        self._pairs: dict[tuple[int, int], bool] = {}
+
+    @cached_property
+    def lookahead(self) -> int:
+        """Bytes of lookahead that are sufficient for every text, see ``sufficient_lookahead``."""
+        return sufficient_lookahead(self.ranks)
 
     def piece(self, b: bytes) -> list[int]:
         return self.native._core_bpe.encode_single_piece(b)
 
-    def adjacent(self, a: int, b: int) -> bool:
-        """Whether BPE leaves tokens a and b as they are when they stand side by side."""
-        ok = self._pairs.get((a, b))
-        if ok is None:
-            if len(self._pairs) > 1_000_000:
-                self._pairs.clear()
-            ok = self._pairs[(a, b)] = self.piece(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return ok
-
     def ids(self, text: str) -> np.ndarray:
         return self.native.encode_to_numpy(text, disallowed_special=())
 
@@ -77,75 +72,83 @@ def vocabulary(name: str = VOCABULARY, folder: str = TOKENIZER_DIR) -> Vocabular
     return Vocabulary(os.path.join(folder, f"{name}.tiktoken"))
 
 
+def merges(ranks: dict[bytes, int]) -> dict[int, tuple[int, int, int]]:
+    """The merge list behind the ranks: for each merged token the tokens it is made from and the bytes of the left one.
+
+    A token's last merge is that of its bytes alone, as nothing crosses its ends while it comes about. Raises ValueError
+    if a token is made later than what it goes into, that is, if merging isn't in the order of the ranks.
+    """
+    out = {}
+    for token, rank in ranks.items():
+        if len(token) < 2:
+            continue
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            at = [(r, i) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
+            if not at:
+                raise ValueError(f"token {rank} can't be made by merging")
+            i = min(at)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        a, b = parts
+        if any(len(p) > 1 and ranks[p] > rank for p in parts):
+            raise ValueError(f"token {rank} comes before its parts")
+        out[rank] = (ranks[a], ranks[b], len(a))
+    return out
+
+
+def sufficient_lookahead(ranks: dict[bytes, int]) -> int:
+    """How many bytes before the end of a prefix its tokens are the same whatever follows, at most.
+
+    What follows can change the prefix's tokens only by a chain of merges, each of which takes place with one
+    continuation and not with another: the first crosses the prefix's end and changes its left part; each further one
+    reaches one token to the left, because its right part begins with the left part of the merge before, and comes
+    later in the list. The longest chain, counted in bytes of the left parts, is found by going through the merges
+    backwards with the best chain so far for each token a right part can begin with.
+    """
+    made = merges(ranks)
+    best: dict[int, int] = {}
+    most = 0
+    for rank in sorted(made, reverse=True):
+        left, right, n = made[rank]
+        reach = n + best.get(left, 0)
+        most = max(most, reach)
+        while True:
+            best[right] = max(best.get(right, 0), reach)
+            if right not in made:
+                break
+            right = made[right][0]
+    return most
+
+
 class MergeTransducer:
     """BPE of one run of bytes, fed in pieces; gives tokens once no continuation can change them.
 
-    For every prefix there is one last token t such that the prefix less t ends in a token that stays beside t; the
-    tokens of a prefix are those on the way back. Every continuation's way back passes one of the last ``lookback``
-    places, so what the ways from all of these share is stable. Memory holds what isn't stable yet.
+    What waits is encoded natively; the tokens that end at least the sufficient lookahead before its end are stable, and
+    since no merge crosses the end of a token the rest can be encoded by itself later on. At most the lookahead and a
+    token wait between two feeds, and a block more within one.
     """
 
-    def __init__(self, v: Vocabulary, block: int = 4096) -> None:
+    def __init__(self, v: Vocabulary, block: int = 4096, lookahead: int | None = None) -> None:
         self.v, self.block = v, block
+        self.lookahead = v.lookahead if lookahead is None else lookahead
         self.data = b""
-        self.last: list[int | None] = [None]  # the last token of each prefix, None at the start
-        self.before: int | None = None  # the token emitted last
-
-    def _extend(self, more: bytes) -> None:
-        start, self.data = len(self.data), self.data + more
-        v, data, last = self.v, self.data, self.last
-        for i in range(start + 1, len(data) + 1):
-            found = None
-            for n in v.ends.get(data[max(0, i - 2) : i], ()) if i > 1 else ():
-                if n > i:
-                    continue
-                t = v.ranks.get(data[i - n : i])
-                if t is not None and self._fits(last, i - n, t):
-                    found = t
-                    break
-            if found is None:
-                t = v.ranks[data[i - 1 : i]]
-                found = t if self._fits(last, i - 1, t) else None
-            last.append(-1 if found is None else found)  # -1: no whole tokens end here (within a longer one's bytes)
-
-    def _fits(self, last: list, at: int, t: int) -> bool:
-        prev = self.before if at == 0 else last[at]
-        if prev == -1:
-            return False
-        return prev is None or self.v.adjacent(prev, t)
-
-    def _back(self, i: int) -> list[int]:
-        """Places on the way back from i, i first."""
-        way = [i]
-        while i > 0:
-            i -= int(self.v.lengths[self.last[i]])
-            way.append(i)
-        return way
 
     def feed(self, more: bytes) -> list[int]:
         out: list[int] = []
         for k in range(0, len(more), self.block):
-            self._extend(more[k : k + self.block])
-            n = len(self.data)
-            common: set[int] | None = None
-            for i in range(max(0, n - self.v.lookback + 1), n + 1):
-                if i == 0 or self.last[i] != -1:
-                    way = set(self._back(i))
-                    common = way if common is None else common & way
-            out += self._emit(max(common or {0}))
+            self.data += more[k : k + self.block]
+            if len(self.data) <= self.lookahead:
+                continue
+            ids = self.v.piece(self.data)
+            ends = np.cumsum(self.v.lengths[ids])
+            n = int(np.searchsorted(ends, len(self.data) - self.lookahead, "right"))
+            if n:
+                out += ids[:n]
+                self.data = self.data[int(ends[n - 1]) :]
         return out
 
-    def _emit(self, upto: int) -> list[int]:
-        way = self._back(upto)
-        ids = [self.last[i] for i in way[:-1]][::-1]
-        if ids:
-            self.before = ids[-1]
-            self.data, self.last = self.data[upto:], [None, *self.last[upto + 1 :]]
-        return ids  # type: ignore[return-value]
-
     def finish(self) -> list[int]:
-        out = self._emit(len(self.data))
-        self.data, self.last, self.before = b"", [None], None
+        out, self.data = self.v.piece(self.data) if self.data else [], b""
         return out
 
 
@@ -153,58 +156,71 @@ class StreamEncoder:
     """Token ids of a text fed in pieces of any size; ``feed`` gives what is settled, ``finish`` the rest."""
 
     def __init__(self, v: Vocabulary, window: int = WINDOW) -> None:
-        import regex
-
         self.v, self.window, self.buf = v, max(8, window), ""
-        self.split = regex.compile(PATTERN)
-        self.edge = regex.compile(r"[\p{L}\p{N}][ \n]")
-        self.space = regex.compile(r"\s")
+        #: The open run, if one piece has filled the window, and what continues it.
+        self.run: MergeTransducer | None = None
+        self.more = _RUNS[0]
 
     def feed(self, text: str) -> Iterator[np.ndarray]:
         for k in range(0, len(text), self.window):
             self.buf += text[k : k + self.window]
-            while len(self.buf) > self.window:
-                cut = self._settled()
-                if not cut:
-                    break  # one unbroken run: wait for its end
-                yield self._run(self.buf[:cut])
-                self.buf = self.buf[cut:]
-
-    def _settled(self) -> int:
-        """The last place in the waiting text that is a token boundary whatever follows, 0 if there is none."""
-        m = self.edge.search(self.buf, max(0, len(self.buf) - 4096))
-        last = 0
-        if m is not None:
-            for m in self.edge.finditer(self.buf, m.start()):
-                last = m.start() + 1
-            return last
-        for m in self.edge.finditer(self.buf):
-            last = m.start() + 1
-        if last:
-            return last
-        # without one: a boundary of the pattern that isn't within reach of the end, after something that isn't space
-        starts = [m.start() for m in self.split.finditer(self.buf)][:-3]
-        return next((s for s in reversed(starts) if s and not self.space.match(self.buf[s - 1])), 0)
-
-    def _run(self, text: str) -> np.ndarray:
-        if len(text) <= 2 * self.window:
-            return self.v.ids(text)
-        out: list[np.ndarray] = []
-        for m in self.split.finditer(text):
-            piece = m[0]
-            if len(piece) <= 2 * self.window:
-                out.append(self.v.ids(piece) if not piece.isspace() else np.array(self.v.piece(piece.encode()), np.uint32))
-            else:
-                t = MergeTransducer(self.v)
-                ids: list[int] = []
-                for k in range(0, len(piece), self.window):
-                    ids += t.feed(piece[k : k + self.window].encode())
-                out.append(np.array(ids + t.finish(), np.uint32))
-        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+            if self.run is not None:
+                yield self._continue()
+            if len(self.buf) > self.window:
+                cut = self._edge()
+                if cut:
+                    yield self.v.ids(self.buf[:cut])
+                    self.buf = self.buf[cut:]
+                if len(self.buf) > self.window:
+                    yield from self._pieces()
+
+    def _edge(self) -> int:
+        """The last place in the waiting text with white space after something printable, 0 if there is none."""
+        buf, i = self.buf, len(self.buf)
+        while True:
+            i = max(buf.rfind(" ", 1, i), buf.rfind("\n", 1, i))
+            if i < 1 or buf[i - 1].isalnum() or "!" <= buf[i - 1] <= "~":
+                return max(i, 0)
+
+    def _pieces(self) -> Iterator[np.ndarray]:
+        """What waits without such a place, piece by piece; three characters further on no piece can change its end."""
+        while len(self.buf) > self.window:
+            m = _SPLIT.match(self.buf)
+            whole = m.end() == len(self.buf)
+            if m.end() <= len(self.buf) - 3:
+                yield np.array(self.v.piece(m[0].encode()), np.uint32)
+                self.buf = self.buf[m.end() :]
+                continue
+            # the piece is open (or ends just here): it fills the window
+            self.more = next(r for r in _RUNS if r.fullmatch(m[0][-1]))
+            self.run = MergeTransducer(self.v)
+            # the last white space belongs to what follows it, if that isn't white space
+            end = m.end() - 1 if whole and self.more is _RUNS[0] else m.end()
+            yield np.array(self.run.feed(m[0][:end].encode()), np.uint32)
+            self.buf = self.buf[end:]
+            return
+
+    def _continue(self) -> np.ndarray:
+        """The open run's part of what waits; ends the run if something else follows."""
+        n = self.more.match(self.buf).end()
+        ended = n < len(self.buf)
+        if self.more is _RUNS[0]:
+            n = max(0, n - 1)
+        out = self.run.feed(self.buf[:n].encode())
+        self.buf = self.buf[n:]
+        if ended:
+            out += self.run.finish()
+            self.run = None
+        return np.array(out, np.uint32)
 
     def finish(self) -> np.ndarray:
-        out, self.buf = self._run(self.buf), ""
-        return out
+        if self.run is None:
+            out, self.buf = self.v.ids(self.buf), ""
+            return out
+        # what waits beside an open run is its last white space, if anything
+        ids = self.run.feed(self.buf.encode()) + self.run.finish()
+        self.run, self.buf = None, ""
+        return np.array(ids, np.uint32)
 
 
 class StreamDecoder:
@@ -225,17 +241,16 @@ def encode(v: Vocabulary, text: str | None, window: int = WINDOW) -> np.ndarray:
     """Ids of one text, none for a null or empty one."""
     if not text:
         return np.zeros(0, np.uint32)
-    if len(text) <= window:
-        return v.ids(text)
     s = StreamEncoder(v, window)
-    return np.concatenate([*s.feed(text), s.finish()])
+    parts = [*s.feed(text), s.finish()]
+    return np.concatenate(parts) if len(parts) > 1 else parts[0]
 
 
 def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", name: str = VOCABULARY, folder: str = TOKENIZER_DIR) -> DataFrame:
     """``key`` and ``ids`` (array of int) of every row, without special tokens.
 
     Null and empty texts give an empty list; blanks are text and have ids. A special token's spelling within a text is
-    ordinary text. Repeated rows stay repeated. One pass, no shuffle; long texts stream through ``StreamEncoder``.
+    ordinary text. Repeated rows stay repeated. One pass, no shuffle; every text streams through ``StreamEncoder``.
     """
     kind = df.schema[key].dataType
     schema = T.StructType([T.StructField(key, kind), T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])

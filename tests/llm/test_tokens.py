@@ -57,7 +57,41 @@ def test_memory_is_bounded_and_tokens_come_early(v):
     for k in range(0, len(raw), 1024):
         out += t.feed(raw[k : k + 1024])
         waiting = max(waiting, len(t.data))
-    assert waiting <= 2 * v.lookback and out + t.finish() == v.piece(raw)
+    assert waiting <= v.lookahead + v.lookback and out + t.finish() == v.piece(raw)
+
+
+def test_sufficient_lookahead_is_sufficient(v):
+    """Whatever follows, tokens that end so far before the end stay; chains of merges as long as they get among them."""
+    rnd = random.Random(4)
+    raw = [b for b in v.ranks if len(b) > 1]
+    assert v.lookback <= v.lookahead < 1000
+    for _ in range(3000):
+        kind = rnd.random()
+        some = [rnd.choice(raw) for _ in range(rnd.randint(1, 4))] if kind < 0.5 else [bytes([rnd.choice(b" =-*_.aeotn")])]
+        w = (b"".join(some) * 200)[: rnd.randint(1, 900)]
+        more = rnd.choice([w, rnd.choice(raw) * 3, bytes([rnd.randrange(256)]) * rnd.randint(1, 40), w[::-1]])
+        ids, full = v.piece(w), v.piece(w + more)
+        at = 0
+        for a, b in zip(ids, full):
+            at += int(v.lengths[a])
+            if at > len(w) - v.lookahead:
+                break
+            assert a == b, (w, more)
+
+
+def test_long_runs_wait_in_bounded_memory(v):
+    """Two million characters without a boundary, of letters, digits, signs, blanks and apostrophes."""
+    for c in ("ab", "7", "=", " ", "\n", "'", "'s", "\t ", "中", "a1"):
+        text = (c * 2_000_000)[: 2_000_000 if c == "ab" else 200_000] + "x"
+        s, n, waiting = StreamEncoder(v), 0, 0
+        ids = []
+        for k in range(0, len(text), 5000):
+            for part in s.feed(text[k : k + 5000]):
+                ids.append(part)
+                waiting = max(waiting, len(s.buf) + len(s.run.data if s.run else b""))
+        ids = [i for p in [*ids, s.finish()] for i in p.tolist()]
+        assert waiting <= 2 * s.window + v.lookahead + v.lookback
+        assert ids == v.native.encode_ordinary(text), c
 
 
 def test_decoder_holds_back_broken_characters(v):
