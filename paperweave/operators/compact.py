@@ -5,24 +5,30 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, drop_path, scratch
 from .skew import attach_first
 
 
-def document_groups(raw_doc: DataFrame) -> DataFrame:
-    """``raw_id``, ``doc``: a 256-bit hash of endpoint, key without letter case, length and body of each document.
+def _row_hash(tie: str) -> Column:
+    return F.xxhash64(tie, "endpoint", "key_id", "body")
+
+
+def document_groups(raw_doc: DataFrame, tie: str = "raw_id") -> DataFrame:
+    """``tie``, ``doc``, ``n_bytes``, ``h``: a 256-bit hash of endpoint, key without letter case, length and body of each
+    document, its size and the hash of its row.
 
     The fields are joined with their lengths, so that no two different triples meet in one text. Null keys count as one
     key of their own; rows with a null body hold no document and get a null ``doc``.
     """
-    def part(c: str):
-        return F.concat(F.coalesce(F.octet_length(c).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col(c), F.lit("")))
+    def part(c: Column) -> Column:
+        return F.concat(F.coalesce(F.octet_length(c).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(c, F.lit("")))
 
-    slim = raw_doc.select("raw_id", F.coalesce("endpoint", F.lit("")).alias("endpoint"), F.lower("key_id").alias("key_id"), "body")
-    return slim.select("raw_id", F.when(F.col("body").isNotNull(), F.unhex(F.sha2(F.concat(part("endpoint"), part("key_id"), part("body")), 256))).alias("doc"))
+    whole = F.concat(part(F.coalesce("endpoint", F.lit(""))), part(F.lower("key_id")), part(F.col("body")))
+    size = (F.coalesce(F.octet_length("body"), F.lit(0)) + 64).cast("bigint")
+    return raw_doc.select(tie, F.when(F.col("body").isNotNull(), F.unhex(F.sha2(whole, 256))).alias("doc"), size.alias("n_bytes"), _row_hash(tie).alias("h"))
 
 
 def repeated_documents(raw_doc: DataFrame) -> DataFrame:
@@ -32,12 +38,16 @@ def repeated_documents(raw_doc: DataFrame) -> DataFrame:
     Rows with a null body, and the first row of each document, are not in it. An empty table gives no rows.
     """
     groups = cut(document_groups(raw_doc))
-    return attach_first(groups, "doc", "raw_id", "keep_id").where("raw_id > keep_id").select("raw_id", "keep_id")
+    return _repeats(groups, "raw_id")
+
+
+def _repeats(groups: DataFrame, tie: str) -> DataFrame:
+    return attach_first(groups.select(tie, "doc"), "doc", tie, "keep_id").where(F.col(tie) > F.col("keep_id")).select(tie, "keep_id")
 
 
 @dataclass(frozen=True)
 class Compacted:
-    """What a consolidation did; ``files`` has a row per file written."""
+    """What a consolidation did; ``files`` has a row per file written, ``left_out`` one per row that isn't in them."""
 
     path: str
     rows_in: int
@@ -45,6 +55,7 @@ class Compacted:
     rows_out: int
     target_bytes: int
     files: DataFrame
+    left_out: DataFrame
 
 
 def _fs(spark: SparkSession, path: str):
@@ -92,27 +103,27 @@ def consolidate(
     """
     spark = raw_doc.sparkSession
     path = path or scratch(spark, "documents")
-    size = raw_doc.agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length("body"), F.lit(0)) + 64).alias("b"), F.countDistinct(tie).alias("d")).first()
+    groups = cut(document_groups(raw_doc, tie))  # the one pass over the bodies before they are written
+    gone = cut(_repeats(groups, tie).select(tie))
+    total = F.sum(F.col("h").cast("decimal(38,0)")).alias("h")
+    size = groups.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(tie).alias("d")).first()
     if size["n"] != size["d"]:
         raise ValueError(f"{tie} isn't unique")
-    gone = cut(repeated_documents(raw_doc).select(F.col("raw_id").alias(tie)))
+    want = groups.join(gone, tie, "left_anti").agg(F.count(F.lit(1)).alias("n"), total, F.sum("n_bytes").alias("b")).first()
     n_gone = gone.count()
-    keep = raw_doc.join(gone, tie, "left_anti")
-    parts = max(1, math.ceil((size["b"] or 0) * packing * (1 - n_gone / max(1, size["n"])) / target_bytes))
+    parts = max(1, math.ceil((want["b"] or 0) * packing / target_bytes))
     staged = path.rstrip("/") + ".staged"
     drop_path(spark, staged)
+    keep = raw_doc.join(gone, tie, "left_anti")
     keep.repartitionByRange(parts, *cluster_by, tie).sortWithinPartitions(*cluster_by, tie).write.option("compression", "zstd").parquet(staged)
-
-    def account(df: DataFrame) -> tuple:
-        h = F.xxhash64(tie, "endpoint", "key_id", "body").cast("decimal(38,0)")
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(h)).first())
-
-    before, after = account(raw_doc.join(gone, tie, "left_anti")), account(spark.read.parquet(staged))
-    if before != after or before[0] != size["n"] - n_gone:
+    got = spark.read.parquet(staged).select(_row_hash(tie).alias("h")).agg(F.count(F.lit(1)).alias("n"), total).first()
+    if (want["n"], want["h"]) != (got["n"], got["h"]) or want["n"] != size["n"] - n_gone:
         drop_path(spark, staged)
-        raise ValueError(f"consolidation doesn't add up: {before} to write, {after} written, {size['n']} less {n_gone} expected")
+        raise ValueError(f"consolidation doesn't add up: {want} to write, {got} written, {size['n']} less {n_gone} expected")
     swap_directory(spark, staged, path)
-    files = spark.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("n_bytes")).agg(
+    held = spark.read.parquet(path)
+    files = held.groupBy(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("n_bytes")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.min(F.struct(*cluster_by, tie)).alias("first"), F.max(F.struct(*cluster_by, tie)).alias("last")
     )
-    return Compacted(path, size["n"], n_gone, after[0], target_bytes, files)
+    left_out = groups.select(tie).join(held.select(tie), tie, "left_anti")
+    return Compacted(path, size["n"], n_gone, got["n"], target_bytes, files, left_out)

@@ -8,8 +8,10 @@ one count per level.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import lower_id
 from ..session import cut
 
+_LOG = logging.getLogger(__name__)
+
 #: A frontier of at most so many ids is broadcast (about 16 MB); a larger one meets the steps by shuffle.
 BROADCAST_IDS = 200_000
 
@@ -35,6 +39,18 @@ class CitationSource:
     author_paper: DataFrame | None = None
 
 
+class LiveSource(Protocol):
+    """A source that is asked level by level and may fetch what it is asked for; ``ids`` have one column ``id``."""
+
+    def details(self, ids: DataFrame) -> DataFrame: ...
+
+    def observations(self, ids: DataFrame) -> tuple[DataFrame, DataFrame]: ...
+
+    def author_papers(self, author_ids: DataFrame) -> DataFrame: ...
+
+    def source(self) -> CitationSource: ...
+
+
 @dataclass
 class CrawlResult:
     """``discovered``: paper_id, depth, expanded; ``edges``: citing_id, cited_id, level at which it was proved first;
@@ -74,7 +90,7 @@ def expand(frontier: DataFrame, step: DataFrame, n_frontier: int) -> DataFrame:
 
 
 def crawl(
-    source: CitationSource,
+    source: CitationSource | LiveSource,
     seeds: DataFrame,
     keep: Callable[[Column, Column], Column],
     limit: int = -1,
@@ -88,21 +104,22 @@ def crawl(
     discovered later. The first round expands the seeds and what they find; each further round one level; ``limit`` L >= 0
     allows L + 1 rounds, a negative one any number; a round without news is the last. ``write`` filters what counts as
     news, so it can end a crawl early. ``on_level`` gets each level's number, expanded papers and new edges (a sink).
+    A live source is asked for the seeds' records and each level's observations as it comes. Each level is logged.
     Empty seeds give an empty result. Self-loops and cycles are kept and end the crawl properly.
     """
     from ..sources.seeds import seed_union, seeds_from_authors
 
     spark = seeds.sparkSession
-    if author_seeds is not None and source.author_paper is not None:
-        seeds = seed_union(seeds, seeds_from_authors(author_seeds, source.author_paper))
-    else:
-        seeds = seed_union(seeds)
-    step = cut(steps(source, keep))
+    live = None if isinstance(source, CitationSource) else source
+    by_author = None if author_seeds is None else live.author_papers(author_seeds) if live else source.author_paper
+    seeds = seed_union(seeds) if by_author is None else seed_union(seeds, seeds_from_authors(author_seeds, by_author))
+    step = None if live else cut(steps(source, keep))
     claimed = cut(seeds.select(F.col("id").alias("paper_id")))
-    frontier = cut(source.detail.select(lower_id(F.col("paper_id")).alias("paper_id")).join(claimed, "paper_id", "left_semi").distinct())
+    detail = live.details(claimed.select(F.col("paper_id").alias("id"))) if live else source.detail
+    frontier = cut(detail.select(lower_id(F.col("paper_id")).alias("paper_id")).join(claimed, "paper_id", "left_semi").distinct())
     failed = cut(claimed.join(frontier, "paper_id", "left_anti"))
     any_failed = failed.limit(1).count() > 0
-    shown = _shown(source, write)
+    shown = None if live else _shown(source, write)
     # one part per level, written once; what is known or proved is their union
     known = [frontier.select("paper_id", F.lit(0).alias("depth"), F.lit(True).alias("expanded"))]
     edges = [spark.createDataFrame([], "citing_id string, cited_id string, level int")]
@@ -110,6 +127,9 @@ def crawl(
     level, rounds, round_news, round_expanded = 0, 0, 0, 0
     n = frontier.count()
     while True:
+        if live:
+            step = steps(CitationSource(detail, *live.observations(frontier.select(F.col("paper_id").alias("id")))), keep)
+            shown = _shown(live.source(), write)
         taken = cut(expand(frontier, step, n).select("src", "nbr", "citing_id", "cited_id"))
         proved = taken.select("citing_id", "cited_id").distinct()
         if on_level is not None:
@@ -122,6 +142,7 @@ def crawl(
         if shown is not None:  # news count only with the papers that are written
             seen = taken.join(shown.select(F.col("paper_id").alias("src")), "src", "left_semi").select(F.col("nbr").alias("paper_id")).distinct()
             news = seen.join(found, "paper_id", "left_semi").count()
+        _LOG.info("level %d: %d papers expanded, %d new", level, n, n_found)
         round_news += news
         round_expanded += n
         level += 1

@@ -32,22 +32,41 @@ def sketch_candidates(df: DataFrame, key: Column, share: float) -> DataFrame:
     return top.select(F.explode("_t").alias("_e")).select(F.col("_e.item").alias("key"))
 
 
-def heavy_keys(df: DataFrame, key: Column, share: float, of_rows: DataFrame | None = None) -> DataFrame:
-    """``key``, ``n_rows``, ``n_total``: the keys holding at least ``share`` of all rows, counted exactly.
+def parted(df: DataFrame, key: str, share: float) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose ``key`` may be heavy, and all others with a key.
 
-    ``n_total`` counts all rows of ``df``, those with a null key too. Ties at the threshold are in. An empty table gives
-    no rows. The candidates (at most ``3/share`` rows) are broadcast, so the exact count shuffles partial counts only.
+    The candidates are written down, so that both parts see the same ones, and met by broadcast (at most ``3/share``
+    rows): no row is moved to tell. Rows with a null key are in neither part.
     """
-    cand = sketch_candidates(df, key, share)
-    hit = (
-        df.select(key.alias("key"))
-        .join(F.broadcast(cand.withColumn("_c", F.lit(1))), "key", "left")
-        .groupBy(F.when(F.col("_c").isNotNull(), F.col("key")).alias("key"))
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-    )
+    cand = cut(sketch_candidates(df, F.col(key), share))
+    tag = F.broadcast(cand.select(F.col("key").alias(key)))
+    return df.join(tag, key, "left_semi"), df.where(F.col(key).isNotNull()).join(tag, key, "left_anti")
+
+
+def count_per_key(df: DataFrame, key: str, share: float) -> DataFrame:
+    """``key``, ``n_rows``, ``n_total``, ``heavy``: the rows of every key, those of at least ``share`` of all rows marked.
+
+    Candidates for heavy keys are named by a sketch and met by broadcast (at most ``3/share`` rows); their rows are counted
+    where they are, so what is shuffled of them is a row per task and key. All other keys go through one ordinary
+    shuffle; the results are united. ``n_total`` (null for the others) counts all rows of ``df``, those with a null key
+    too; ties at the threshold are heavy. An empty table gives no rows. Where only heavy keys are asked for, the other
+    part is never computed.
+    """
+    cand = cut(sketch_candidates(df, F.col(key), share).withColumnRenamed("key", key))
+    count = F.count(F.lit(1)).alias("n_rows")
+    known = df.join(F.broadcast(cand.withColumn("_c", F.lit(1))), key, "left")
     # a row per candidate and one (null) for all the rest, few enough for one window: the total is their sum
-    summed = hit.withColumn("n_total", F.sum("n_rows").over(Window.partitionBy()))
-    return summed.where(F.col("key").isNotNull() & (F.col("n_rows") >= F.lit(share) * F.col("n_total")))
+    hit = known.groupBy(F.when(F.col("_c").isNotNull(), F.col(key)).alias(key)).agg(count).withColumn("n_total", F.sum("n_rows").over(Window.partitionBy()))
+    hot = hit.where(F.col(key).isNotNull()).select(key, "n_rows", "n_total", (F.col("n_rows") >= F.lit(share) * F.col("n_total")).alias("heavy"))
+    # what isn't a candidate can't reach the share
+    light = df.where(F.col(key).isNotNull()).join(F.broadcast(cand), key, "left_anti").groupBy(key).agg(count)
+    return hot.unionByName(light.select(key, "n_rows", F.lit(None).cast("bigint").alias("n_total"), F.lit(False).alias("heavy")))
+
+
+def heavy_keys(df: DataFrame, key: Column, share: float) -> DataFrame:
+    """``key``, ``n_rows``, ``n_total``: the keys holding at least ``share`` of all rows, counted exactly; the heavy keys
+    of ``count_per_key``."""
+    return count_per_key(df.select(key.alias("key")), "key", share).where("heavy").select("key", "n_rows", "n_total")
 
 
 def skew_join(
@@ -105,12 +124,17 @@ def attach_first(rows: DataFrame, group: str, value: str, out: str, share: float
     return skew_join(rows, groups.drop("_n"), group, "inner", unique=True, heavy=heavy)
 
 
-def spread_group(df: DataFrame, key: str, member: str, extra: list[Column] | None = None) -> DataFrame:
-    """Per ``key``: ``n_rows`` and ``n_distinct`` (members that aren't null), exact, without a task that gets a whole key.
+def spread_group(df: DataFrame, key: str, member: str, extra: list[tuple[Column, Column]] | None = None, share: float = 0.001) -> DataFrame:
+    """Per ``key``: ``n_rows`` and ``n_distinct`` (members that aren't null), exact, without a task that gets a whole heavy key.
 
-    First per (key, member), so a heavy key spreads over as many tasks as it has members and a repeated pair is combined
-    map-side; then per key over the partial results, again with map-side combining. Rows with a null key are left out.
-    ``extra``: further mergeable aggregates as pairs of (first step, second step) named alike, see ``_two_step``.
+    The rows of heavy keys (``parted``) are aggregated per (key, member) first, so a key spreads over as many tasks as it
+    has members and a repeated pair is combined map-side, then per key over the partial results. All other rows are
+    shuffled once, by key, and both steps take place there. The results are united. Rows with a null key are left out.
+    ``extra``: further mergeable aggregates as pairs of (first step, second step) named alike.
     """
-    one = df.where(F.col(key).isNotNull()).groupBy(key, member).agg(F.count(F.lit(1)).alias("_n"), *[a for a, _ in extra or []])
-    return one.groupBy(key).agg(F.sum("_n").alias("n_rows"), F.count(member).alias("n_distinct"), *[b for _, b in extra or []])
+    def steps(rows: DataFrame) -> DataFrame:
+        one = rows.groupBy(key, member).agg(F.count(F.lit(1)).alias("_n"), *[a for a, _ in extra or []])
+        return one.groupBy(key).agg(F.sum("_n").alias("n_rows"), F.count(member).alias("n_distinct"), *[b for _, b in extra or []])
+
+    hot, light = parted(df, key, share)
+    return steps(hot).unionByName(steps(light.repartition(key)))

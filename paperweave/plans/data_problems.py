@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cache_documents import document_children, flat_authors, flat_papers
-from ..operators.compact import consolidate, repeated_documents
-from ..operators.skew import heavy_keys, skew_join, spread_group
-from ..session import scratch
+from ..operators.compact import consolidate
+from ..operators.skew import count_per_key, skew_join, spread_group
 from ..sources.tables import table
 
 #: Papers with at least this share of all observations are heavy (TESTDATA.md).
@@ -34,10 +33,21 @@ def paper_key(column: str):
     return F.nullif(F.lower(column), F.lit(""))
 
 
-def p5_found(spark: SparkSession, root: str) -> DataFrame:
+def _counted(spark: SparkSession, root: str) -> DataFrame:
+    """``side``, ``paper_id``, ``n_rows``, ``heavy``; both sides in one go, so a heavy paper has half the share of all ends."""
     obs = table(spark, root, "citation_obs", "citing_id", "cited_id")
-    sides = [heavy_keys(obs, paper_key(f"{s}_id"), HEAVY_SHARE).select(F.lit(s).alias("side"), F.col("key").alias("paper_id")) for s in ("cited", "citing")]
-    return sides[0].unionByName(sides[1])
+    end = F.explode(F.array(*(F.concat(F.lit(f"{s}:"), paper_key(f"{s}_id")) for s in ("cited", "citing"))))
+    per = count_per_key(obs.select(end.alias("end")), "end", HEAVY_SHARE / 2)
+    return per.select(F.substring_index("end", ":", 1).alias("side"), F.expr("substring(end, instr(end, ':') + 1)").alias("paper_id"), "n_rows", "heavy")
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return _counted(spark, root).where("heavy").select("side", "paper_id")
+
+
+def p5_rows_per_paper(spark: SparkSession, root: str) -> DataFrame:
+    """Per side and paper the number of its observations, and whether it is heavy."""
+    return _counted(spark, root)
 
 
 def p5_paper_stats(spark: SparkSession, root: str) -> DataFrame:
@@ -66,23 +76,26 @@ def p5_cited_years(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
-    return repeated_documents(table(spark, root, "raw_doc", "raw_id", "endpoint", "key_id", "body")).select("raw_id")
+    """The rows that aren't in the set that ``consolidate`` wrote."""
+    return consolidate(table(spark, root, "raw_doc", "raw_id", "endpoint", "key_id", "body")).left_out.select("raw_id")
 
 
 def p6_files(spark: SparkSession, root: str) -> DataFrame:
     """Consolidates ``raw_doc`` into the shared folder and accounts for it, one row per endpoint of what was written."""
-    done = consolidate(table(spark, root, "raw_doc"), scratch(spark, "documents"))
+    done = consolidate(table(spark, root, "raw_doc"))
     return spark.read.parquet(done.path).groupBy("endpoint").agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum(F.octet_length("body").cast("bigint")).alias("body_bytes"), F.countDistinct(F.lower("key_id")).alias("n_keys")
     )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_papers, p1_authors, p5_found, p5_paper_stats, p5_cited_years, p6_found, p6_files)}
+    return {f.__name__: f for f in (p1_found, p1_papers, p1_authors, p5_found, p5_rows_per_paper, p5_paper_stats, p5_cited_years, p6_found, p6_files)}
 
 
 _SIDE = """select '{s}' as side, lower({s}_id) as paper_id from citation_obs where {s}_id <> '' group by 2
  having count(*) >= 0.02 * (select count(*) from citation_obs)"""
+_COUNTS = """select '{s}' as side, lower({s}_id) as paper_id, count(*) as n_rows, count(*) >= 0.02 * (select count(*) from citation_obs) as heavy
+ from citation_obs where {s}_id <> '' group by 2"""
 _STATS = """select '{s}' as side, lower({s}_id) as paper_id, count(*) as n_rows, count(distinct nullif(lower({o}_id), '')) as n_others,
  min(fetched_at) as first_at, max(fetched_at) as last_at from citation_obs where {s}_id <> '' group by 2"""
 _DOC = "partition by coalesce(endpoint, ''), lower(key_id), body order by raw_id"

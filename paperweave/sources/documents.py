@@ -24,8 +24,8 @@ def usable(raw_doc: DataFrame, endpoint: str, valid: Column | None = None) -> Da
 def latest(raw_doc: DataFrame, endpoint: str, now: Column | None = None, ttl: dict[str, int] | None = None) -> DataFrame:
     """Per key the last usable document, if it is still fresh: ``key_id`` (lower case), ``raw_id``, ``fetched_at``, ``doc``.
 
-    Ties in time go to the greater raw_id. Without ``now`` nothing expires. Only ids and times are compared in the
-    aggregate; a body travels with its row.
+    Ties in time go to the greater raw_id. Without ``now`` nothing expires. A body travels with its row: where the
+    cache is consolidated (``operators.compact``) there is one per key to move.
     """
     docs = usable(raw_doc, endpoint).where(F.col("key_id").isNotNull())
     if now is not None:
@@ -49,40 +49,40 @@ def _paper(p: Column) -> list[Column]:
     ]
 
 
-def paper_detail(raw_doc: DataFrame, now: Column | None = None) -> DataFrame:
+def paper_detail(raw_doc: DataFrame, now: Column | None = None, ttl: dict[str, int] | None = None) -> DataFrame:
     """One row per paper asked for whose document names that very paper; others stay unresolved."""
-    d = latest(raw_doc, "paper", now)
+    d = latest(raw_doc, "paper", now, ttl)
     return d.where(F.lower("doc.paperId") == F.col("key_id")).select(*_paper(F.col("doc")))
 
 
-def _neighbours(raw_doc: DataFrame, endpoint: str, field: str, now: Column | None) -> DataFrame:
+def _neighbours(raw_doc: DataFrame, endpoint: str, field: str, now: Column | None, ttl: dict[str, int] | None) -> DataFrame:
     """Rows of a list endpoint, neighbour by neighbour, those without id left out."""
-    rows = latest(raw_doc, endpoint, now).select("key_id", F.posexplode("doc.data").alias("pos", "item"))
+    rows = latest(raw_doc, endpoint, now, ttl).select("key_id", F.posexplode("doc.data").alias("pos", "item"))
     return rows.select(F.col("key_id").alias("asked_id"), "pos", *_paper(F.col("item")[field])).where(F.col("paper_id").isNotNull())
 
 
-def reference_obs(raw_doc: DataFrame, now: Column | None = None) -> DataFrame:
+def reference_obs(raw_doc: DataFrame, now: Column | None = None, ttl: dict[str, int] | None = None) -> DataFrame:
     """``citing_id``, ``cited_id`` and the cited paper's record."""
-    n = _neighbours(raw_doc, "references", "citedPaper", now)
+    n = _neighbours(raw_doc, "references", "citedPaper", now, ttl)
     return n.select(F.col("asked_id").alias("citing_id"), F.col("paper_id").alias("cited_id"), *[c for c in n.columns if c not in ("asked_id", "paper_id")])
 
 
-def citation_obs(raw_doc: DataFrame, now: Column | None = None) -> DataFrame:
+def citation_obs(raw_doc: DataFrame, now: Column | None = None, ttl: dict[str, int] | None = None) -> DataFrame:
     """``citing_id``, ``cited_id`` and the citing paper's record."""
-    n = _neighbours(raw_doc, "citations", "citingPaper", now)
+    n = _neighbours(raw_doc, "citations", "citingPaper", now, ttl)
     return n.select(F.col("paper_id").alias("citing_id"), F.col("asked_id").alias("cited_id"), *[c for c in n.columns if c not in ("asked_id", "paper_id")])
 
 
-def paper_author(raw_doc: DataFrame, now: Column | None = None) -> DataFrame:
+def paper_author(raw_doc: DataFrame, now: Column | None = None, ttl: dict[str, int] | None = None) -> DataFrame:
     """Authors listed for a paper by the authors endpoint: ``paper_id``, ``pos``, ``author_id``, ``name``, ``homepage``, ``dblp_name``."""
-    rows = latest(raw_doc, "authors", now).select("key_id", F.posexplode("doc.data").alias("pos", "a"))
+    rows = latest(raw_doc, "authors", now, ttl).select("key_id", F.posexplode("doc.data").alias("pos", "a"))
     return rows.select(F.col("key_id").alias("paper_id"), "pos", falsy(F.col("a.authorId")).alias("author_id"), "a.name", "a.homepage", author_names(F.col("a.externalIds.DBLP")).alias("dblp_name")).where(
         F.col("author_id").isNotNull()
     )
 
 
-def author_paper(raw_doc: DataFrame, now: Column | None = None, page_cap: int | None = None) -> DataFrame:
+def author_paper(raw_doc: DataFrame, now: Column | None = None, page_cap: int | None = None, ttl: dict[str, int] | None = None) -> DataFrame:
     """``author_id``, ``paper_id``: the papers of an author; ``page_cap`` keeps the first so many of each document."""
-    d = latest(raw_doc, "author_papers", now)
+    d = latest(raw_doc, "author_papers", now, ttl)
     data = F.slice("doc.data", 1, page_cap) if page_cap else F.col("doc.data")
     return d.select(F.col("key_id").alias("author_id"), F.explode(data).alias("p")).select("author_id", lower_id(F.col("p.paperId")).alias("paper_id")).where(F.col("paper_id").isNotNull()).distinct()

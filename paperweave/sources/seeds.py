@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 from collections.abc import Iterable
 
@@ -60,5 +61,15 @@ def parse_seeds(values: Iterable[str] | None) -> list[str]:
     return out
 
 
+def called_seeds(spark: SparkSession, name: str, column: str = "id") -> DataFrame:
+    """Seeds from a function named ``module:function``: it gets the session and returns a DataFrame with ``column`` or ids.
+
+    The module is imported and the function called; nothing is evaluated.
+    """
+    module, _, function = name.partition(":")
+    got = getattr(importlib.import_module(module), function)(spark)
+    return got.select(F.col(column).cast("string").alias(column)) if isinstance(got, DataFrame) else spark.createDataFrame([(str(v),) for v in got], f"{column} string")
+
+
 def literal_seeds(spark: SparkSession, values: Iterable[str] | None, column: str = "id") -> DataFrame:
     return spark.createDataFrame([(v,) for v in parse_seeds(values)], f"{column} string")

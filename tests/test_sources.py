@@ -1,4 +1,5 @@
 import json
+import random
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -135,3 +136,69 @@ def test_streaming_equals_batch(spark, tmp_path):
     q = arrivals(read_documents(spark, inbox)).writeStream.format("memory").queryName("arr").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sum(r.n_docs for r in spark.table("arr").collect()) == 4
+
+
+def test_live_crawl_equals_crawl_over_tables(spark, tmp_path, monkeypatch):
+    """A crawl that fetches level by level finds what a crawl over finished tables finds, and fetches nothing twice."""
+    from http.server import ThreadingHTTPServer
+
+    from paperweave.operators.crawl import CitationSource, crawl
+    from paperweave.sources.fetch import CachedApi, unusable
+
+    rnd = random.Random(9)
+    ids = [f"p{i}" for i in range(30)]
+    cites = {(rnd.choice(ids), rnd.choice(ids)) for _ in range(60)}
+    record = {i: {"paperId": i.upper(), "title": f"Graph {i}", "year": rnd.randint(1995, 2010)} for i in ids}
+    bodies = {f"/paper/{i}": record[i] for i in ids if i != "p3"}
+    bodies |= {f"/paper/{i}/references": {"data": [{"citedPaper": record[b]} for a, b in sorted(cites) if a == i]} for i in ids}
+    bodies |= {f"/paper/{i}/citations": {"data": [{"citingPaper": record[a]} for a, b in sorted(cites) if b == i]} for i in ids}
+    bodies |= {"/author/a1/papers": {"data": [{"paperId": "p5", "title": "x"}]}}
+    asked = []
+
+    class Graph(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            body = bodies.get(self.path.split("?")[0])
+            self.send_response(200 if body is not None else 404)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode() if body is not None else b"")
+
+        def log_message(self, *a):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Graph)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    path = str(tmp_path / "cache")
+    bad = spark.createDataFrame([("paper", "p1", "x", "[1]")], "endpoint string, key_id string, path string, body string").withColumn("fetched_at", F.lit("2024-01-01").cast("timestamp"))
+    append_documents(bad.select("endpoint", "key_id", "path", "fetched_at", "body"), path)
+    monkeypatch.setenv("PAPERWEAVE_HTTP_CONCURRENCY", "3")
+    api = CachedApi(spark, path, f"http://127.0.0.1:{server.server_port}", fields={"paper": "title,year"})
+    assert api.request["concurrency"] == 3 and rows(unusable(api.cache()).select("key_id")) == [("p1",)]
+    keep = lambda y, t: y >= 2000
+    seeds = spark.createDataFrame([("P1",), ("p2",), ("p3",)], "id string")
+    authors = spark.createDataFrame([("a1",)], "author_id string")
+    live = crawl(api, seeds, keep, 1, authors)
+    first = len(asked)
+    assert first == len(set(asked)) and any(p.startswith("/paper/p1?fields=title") for p in asked)
+    both = [[r.asDict() for r in x.collect()] for x in (live.discovered, live.edges)]
+    again = crawl(api, seeds, keep, 1, authors)  # all from the cache but the failed seed
+    assert {p.split("?")[0] for p in asked[first:]} == {"/paper/p3"}
+    obs = spark.createDataFrame([(a, b, record[b]["year"], record[b]["title"], record[a]["year"], record[a]["title"]) for a, b in cites], "citing_id string, cited_id string, y string, t string, y2 string, t2 string")
+    table = CitationSource(
+        spark.createDataFrame([(i, r["year"], r["title"]) for i, r in record.items() if i != "p3"], "paper_id string, year int, title string"),
+        obs.selectExpr("citing_id", "cited_id", "int(y) as year", "t as title"), obs.selectExpr("citing_id", "cited_id", "int(y2) as year", "t2 as title"),
+        spark.createDataFrame([("a1", "p5")], "author_id string, paper_id string"),
+    )
+    want = crawl(table, seeds, keep, 1, authors)
+    for got in (live, again):
+        assert rows(got.discovered) == rows(want.discovered) and rows(got.edges) == rows(want.edges) and got.stats == want.stats
+    assert len(both[0]) > 5
+    server.shutdown()
+
+
+def some_seeds(spark):
+    return ["p1", "P2"]
+
+
+def test_called_seeds(spark):
+    assert rows(S.called_seeds(spark, "tests.test_sources:some_seeds")) == [("P2",), ("p1",)]
