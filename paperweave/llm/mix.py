@@ -60,7 +60,9 @@ def mix(
 
     Each source's documents are shuffled by a seeded hash and repeated as a whole up to ``max_repeats`` times. A use's
     virtual finish time is the source's tokens so far divided by its weight; uses are sorted by it and the mix ends at
-    ``horizon``. The use that straddles the end is in if that brings its source nearer to its share.
+    ``horizon``, where the total budget is reached. What a source then still lacks, as its next document is too long,
+    is filled by the one of its later documents in that pass that brings it nearest to its share, if any does: it
+    finishes at the end.
 
     The running sums need no task that sees a whole source: sums per (source, hash bucket) first, then within buckets.
     Null texts and documents whose source is null or has no target stay out; a target without documents is reported
@@ -88,14 +90,23 @@ def mix(
     within = F.sum("n_tokens").over(Window.partitionBy("source", "bucket").orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     # whole passes over a source that the mix can reach, at most the repeats allowed
     passes = F.least(F.col("max_repeats"), F.when(F.col("tokens") > 0, F.ceil(F.lit(end) * F.col("target_share") / F.col("tokens"))).otherwise(F.lit(1)).cast("int"))
-    uses = (
+    goal = F.lit(end) * F.col("target_share") * (1 + 1e-12)
+    passed = cut(
         place.withColumn("within", within)
         .join(before.select("source", "bucket", F.coalesce("base", F.lit(0)).alias("base")), ["source", "bucket"])  # partitioned so already
         .join(F.broadcast(plan.where("target_share > 0 and max_repeats > 0").select("source", "target_share", "max_repeats", "tokens")), "source")
         .withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.greatest(passes, F.lit(1)) - 1)))
         .withColumn("so_far", F.col("repeat_no") * F.col("tokens") + F.col("base") + F.col("within"))
-        .where(F.col("so_far") - F.col("n_tokens") / 2 <= F.lit(end) * F.col("target_share") * (1 + 1e-12))
-        .select("doc_id", "source", "repeat_no", "n_tokens", (F.col("so_far") / F.col("target_share")).alias("finish"))
+        .select("doc_id", "source", "repeat_no", "n_tokens", "so_far", goal.alias("goal"), "target_share")
+    )
+    full = passed.where("so_far <= goal")
+    lacks = plan.select("source").join(full.groupBy("source").agg(F.max("so_far").alias("got")), "source", "left").select("source", F.coalesce("got", F.lit(0)).alias("got"))
+    later = passed.where("so_far > goal").join(F.broadcast(lacks), "source").withColumn("off", F.abs(F.col("goal") - F.col("got") - F.col("n_tokens")))
+    later = later.where(F.col("off") < F.col("goal") - F.col("got"))
+    fill = later.groupBy("source").agg(F.min_by(F.struct("doc_id", "repeat_no", "n_tokens"), F.struct("off", "so_far", "doc_id")).alias("x"))
+    uses = (
+        full.select("doc_id", "source", "repeat_no", "n_tokens", (F.col("so_far") / F.col("target_share")).alias("finish"))
+        .unionByName(fill.select("x.doc_id", "source", "x.repeat_no", "x.n_tokens", F.lit(end).alias("finish")))
         .orderBy("finish", "source", "doc_id", "repeat_no")
     )
     used = uses.groupBy("source").agg(
