@@ -13,7 +13,7 @@ from ..operators import crawl as C
 from ..operators import graphstore as G
 from ..operators.predicates import crawl_predicate, fresh, stored_predicate
 from ..session import cut
-from ..sinks.graph_json import json_document, paper_nodes
+from ..sinks.graph_json import paper_nodes
 from ..sources import documents as D
 from ..sources import seeds as S
 from ..sources.tables import table
@@ -141,11 +141,7 @@ _SQL_USABLE = """usable as (select raw_id, endpoint, lower(key_id) as key_id, fe
 @query(f"with {_SQL_USABLE} select raw_id, endpoint from usable")
 def usable_documents(spark: SparkSession, root: str) -> DataFrame:
     raw = table(spark, root, "raw_doc", "raw_id", "endpoint", "key_id", "fetched_at", "body")
-    parts = [D.usable(raw, e).select("raw_id", "endpoint") for e in D.ENDPOINTS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return D.usable_any(raw).select("raw_id", "endpoint")
 
 
 @query(
@@ -555,14 +551,3 @@ def paper_node_projection(spark: SparkSession, root: str) -> DataFrame:
     nodes = paper_nodes(_latest(spark, root), _observed(spark, root))
     back = F.from_json("node", "dblp_key string, title string, title_hash string, year int, date string, doi string")
     return nodes.select("paper_id", back.alias("n")).select("paper_id", "n.*")
-
-
-@query()
-def json_graph_document(spark: SparkSession, root: str) -> DataFrame:
-    """The crawl's graph as one JSON document: nodes are the ends of the edges between papers on record."""
-    papers = _latest(spark, root)
-    got = _crawled(spark, root, 0)
-    ids = papers.select("paper_id")
-    edges = got.edges.join(ids.withColumnRenamed("paper_id", "citing_id"), "citing_id", "left_semi").join(ids.withColumnRenamed("paper_id", "cited_id"), "cited_id", "left_semi")
-    nodes = paper_nodes(papers.join(got.nodes(), "paper_id", "left_semi"), _observed(spark, root))
-    return json_document(nodes, edges)

@@ -48,6 +48,21 @@ def json_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return lists.select(body.alias("document"))
 
 
+def json_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``part``, ``a``, ``b``, ``line``: the same document as lines that stand one after another in the order of the other columns.
+
+    Nodes and edges are lines of their own, so no task holds the graph; each but the first of its part begins with a comma.
+    """
+    first = nodes.agg(F.min("paper_id")).first()[0], edges.agg(F.min(F.struct("citing_id", "cited_id"))).first()[0] or (None, None)
+    one = F.to_json(F.array("paper_id"))
+    n = nodes.select(F.lit(1).alias("part"), F.col("paper_id").alias("a"), F.lit("").alias("b"), F.concat(one.substr(F.lit(2), F.length(one) - 2), F.lit(": "), F.col("node")).alias("line"))
+    e = edges.select(F.lit(3).alias("part"), F.col("citing_id").alias("a"), F.col("cited_id").alias("b"), F.to_json(F.array("citing_id", "cited_id")).alias("line"))
+    leads = ((F.col("part") == 1) & (F.col("a") == F.lit(first[0]))) | ((F.col("part") == 3) & (F.col("a") == F.lit(first[1][0])) & (F.col("b") == F.lit(first[1][1])))
+    rest = n.unionByName(e).select("part", "a", "b", F.when(leads, F.col("line")).otherwise(F.concat(F.lit(", "), F.col("line"))).alias("line"))
+    frame = nodes.sparkSession.createDataFrame([(0, "", "", '{"nodes": {'), (2, "", "", '}, "edges": ['), (4, "", "", "]}")], "part int, a string, b string, line string")
+    return rest.unionByName(frame)
+
+
 def write_tables(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """The graph as two Parquet tables below ``path``."""
     nodes.write.mode("overwrite").parquet(os.path.join(path, "nodes"))
@@ -55,5 +70,5 @@ def write_tables(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def write_json_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """The document as a text file below ``path``."""
-    json_document(nodes, edges).coalesce(1).write.mode("overwrite").text(path)
+    """The document as text files below ``path``, one document when they are read in the order of their names."""
+    json_lines(nodes, edges.select("citing_id", "cited_id").distinct()).orderBy("part", "a", "b").select("line").write.mode("overwrite").option("lineSep", " ").text(path)

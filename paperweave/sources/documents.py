@@ -21,6 +21,12 @@ def usable(raw_doc: DataFrame, endpoint: str, valid: Column | None = None) -> Da
     return part.where(ok).withColumn("doc", F.from_json("body", ENDPOINTS[endpoint]))
 
 
+def usable_any(raw_doc: DataFrame) -> DataFrame:
+    """The documents of all endpoints that ``usable`` takes, in one pass and not parsed; unknown endpoints have none."""
+    key = F.create_map(*[F.lit(x) for kv in REQUIRED.items() for x in kv])[F.col("endpoint")]
+    return raw_doc.where(F.array_contains(F.json_object_keys("body"), key))
+
+
 def latest(raw_doc: DataFrame, endpoint: str, now: Column | None = None, ttl: dict[str, int] | None = None) -> DataFrame:
     """Per key the last usable document, if it is still fresh: ``key_id`` (lower case), ``raw_id``, ``fetched_at``, ``doc``.
 

@@ -37,11 +37,7 @@ def unusable(cache: DataFrame) -> DataFrame:
 
     They never hide an older usable document and are asked for again like absent ones.
     """
-    good = [documents.usable(cache, e).select("raw_id") for e in rest._PATHS]
-    every = good[0]
-    for g in good[1:]:
-        every = every.unionByName(g)
-    return cache.join(every, "raw_id", "left_anti")
+    return cache.join(documents.usable_any(cache).select("raw_id"), "raw_id", "left_anti")
 
 
 @dataclass

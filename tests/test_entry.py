@@ -4,11 +4,11 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from paperweave.plans import citation_queries, data_problems
+from paperweave.plans import citation_queries, data_problems, sink_queries
 from tests.conftest import rows
 
-CORE = {**citation_queries.queries(), **data_problems.queries()}
-SQL = {**citation_queries.oracle_sql(), **data_problems.oracle_sql()}
+CORE = {**citation_queries.queries(), **sink_queries.queries(), **data_problems.queries()}
+SQL = {**citation_queries.oracle_sql(), **sink_queries.oracle_sql(), **data_problems.oracle_sql()}
 
 
 def plain(x):
