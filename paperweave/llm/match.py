@@ -125,10 +125,22 @@ def publications(pubs: DataFrame) -> DataFrame:
     return _words_frame(flat, "element_id", ["year", "dblp"]).withColumn("dblp", F.nullif(F.trim("dblp"), F.lit("")))
 
 
-def _titles(df: DataFrame, key: str) -> DataFrame:
-    """``key`` (an id) and ``words`` of each different title; titles without words are left out."""
-    one = df.where(F.size("words") > 0).groupBy("words").agg(F.count(F.lit(1)).alias("n_rows"))
-    return cut(one.select(F.monotonically_increasing_id().alias(key), "words"))
+def _hash(words: Column, seed: int) -> Column:
+    return F.when(F.size(words) > 0, F.xxhash64(F.lit(seed), words))
+
+
+def _titles(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``key``, the hash of its words (null without words), and ``key``, ``words`` of each different title.
+
+    Should two titles have one hash, all are hashed anew.
+    """
+    for seed in range(100):
+        mine = df if seed == 0 else df.withColumn(key, _hash(F.col("words"), seed))
+        proof = F.xxhash64(F.lit(-1), "words")
+        one = cut(mine.where(F.col(key).isNotNull()).groupBy(key).agg(F.first("words").alias("words"), F.min(proof).alias("a"), F.max(proof).alias("b")))
+        if not one.where("a <> b").limit(1).count():
+            return mine, one.select(key, "words")
+    raise ValueError("no hash keeps the titles apart")
 
 
 def _deletes(word: str) -> Column:
@@ -208,19 +220,22 @@ def query_slots(queries: DataFrame, vocab: DataFrame, n: float) -> DataFrame:
 
     Two neighbours of which one is unknown and which run together make a known word stand for that, too.
     """
-    before, after = F.get("words", F.col("pos") - 1), F.get("words", F.col("pos") + 1)
-    occ = queries.select("tq", "words", F.posexplode("words").alias("pos", "w"))
-    occ = occ.select("tq", "pos", _bare(F.col("w")).alias("word"), after.isNull().alias("last"), F.rlike("w", F.lit("[.…]$")).alias("dot"), F.array_compact(F.array(F.concat(_bare(before), _bare(F.col("w"))), F.concat(_bare(F.col("w")), _bare(after)))).alias("pairs"))
+    occ = queries.select("tq", F.size("words").alias("n"), F.posexplode("words").alias("pos", "w"))
+    occ = occ.select("tq", "pos", _bare(F.col("w")).alias("word"), (F.col("pos") == F.col("n") - 1).alias("last"), F.rlike("w", F.lit("[.…]$")).alias("dot"))
     occ = occ.withColumn("form", F.concat_ws("|", "word", F.col("last").cast("string"), F.col("dot").cast("string")))
     forms = cut(forms_of(occ.select("form", "word", "last", "dot").distinct(), vocab, n))
-    known = cut(skew_join(occ.drop("word", "last", "dot"), forms, "form", "inner", unique=True))
-    near_unknown = known.where("not known").select("tq", "pos", F.explode("pairs").alias("word")).join(vocab.select("word"), "word", "left_semi")
-    # the joined word counts for both neighbours; only those that stand beside an unknown one can be joined
-    mine = known.select("tq", "pos", F.explode("pairs").alias("word")).join(near_unknown.select("tq", "word").distinct(), ["tq", "word"])
-    more = mine.groupBy("tq", "pos").agg(F.collect_set("word").alias("more"))
-    slot = known.join(more, ["tq", "pos"], "left").select("tq", F.struct("pos", "known", "weight", F.when(F.col("more").isNull(), F.col("alts")).otherwise(F.concat("alts", "more")).alias("alts")).alias("s"))
-    per = slot.groupBy("tq").agg(F.sort_array(F.collect_list("s")).alias("slots"))
-    return cut(queries.join(per, "tq"))
+    slot = skew_join(occ.select("tq", "pos", "form"), forms, "form", "inner", unique=True).select("tq", F.struct("pos", "known", "weight", "alts").alias("s"))
+    per = cut(queries.join(slot.groupBy("tq").agg(F.sort_array(F.collect_list("s")).alias("slots")), "tq"))
+    pair = F.transform(F.sequence(F.lit(0), F.size("slots") - 2), lambda i: F.when(~(F.get("slots", i)["known"] & F.get("slots", i + 1)["known"]), F.struct(i.alias("i"), F.concat(_bare(F.get("words", i)), _bare(F.get("words", i + 1))).alias("word"))))
+    run = per.where(F.size("slots") > 1).select("tq", F.explode(F.array_compact(pair)).alias("x")).select("tq", "x.i", "x.word").join(vocab.select("word"), "word", "left_semi")
+    more = run.groupBy("tq").agg(F.collect_list(F.struct("i", "word")).alias("more"))
+
+    def joined(s: Column) -> Column:
+        mine = F.transform(F.filter("more", lambda m: (m["i"] == s["pos"]) | (m["i"] + 1 == s["pos"])), lambda m: m["word"])
+        return F.struct(s["pos"].alias("pos"), s["known"].alias("known"), s["weight"].alias("weight"), F.concat(s["alts"], mine).alias("alts"))
+
+    whole = per.join(more, "tq", "left")
+    return cut(whole.select("tq", "words", F.when(F.col("more").isNull(), F.col("slots")).otherwise(F.transform("slots", joined)).alias("slots")))
 
 
 def _word_hash(word: str) -> int:
@@ -484,21 +499,24 @@ def _named(queries: DataFrame, docs: DataFrame, column: str, n: float) -> tuple[
     return asked, skew_join(queries.where(F.col(column).isNotNull()).select(column, "q"), reps, column, "inner").select("q", "paper_id")
 
 
-def _ranked(options: DataFrame, score: Column, ident: float, least: float) -> DataFrame:
-    """The first of each query's options by ``score`` (then nearer year, then id), with its lead over the others.
+def _ranked(options: DataFrame, ident: float, least: float) -> DataFrame:
+    """``options`` with their places by the whole score (``pick``) and by what words and year say (``pick_t``), and leads.
 
-    ``gap``: BM25 of words and year above the best other option's (at least the floor, which all that was not looked up
-    is below); ``gap_words``: the same of the words alone. These and ``weight``, the query's own, are counted in what a
-    word that is in one title weighs (``ident``), so that few common words say little.
+    Ties go to the nearer year, then the lesser id. ``gap``: BM25 of words and year above the best other option's (at least
+    the floor, which all that was not looked up is below); ``gap_words``: the same of the words alone. These and
+    ``weight``, the query's own, are counted in what a word that is in one title weighs (``ident``), so that few common
+    words say little.
     """
     q = Window.partitionBy("q")
     floor = F.least(F.col("score"), least * F.col("own"))
-    w = options.withColumn("pick", F.row_number().over(q.orderBy(score.desc(), F.col("years"), F.col("paper_id"))))
+    w = options
+    for name, s in (("pick", F.col("score") + F.col("of_year") + F.col("of_ids")), ("pick_t", F.col("score") + F.col("of_year"))):
+        w = w.withColumn(name, F.row_number().over(q.orderBy(s.desc(), F.col("years"), F.col("paper_id"))))
     for name, s in (("gap", F.col("score") + F.col("of_year")), ("gap_words", F.col("score"))):
-        order = q.orderBy(s.desc(), F.col("pick"))
+        order = q.orderBy(s.desc(), F.col("years"), F.col("paper_id"))
         other = F.when(F.row_number().over(order) == 1, F.lead(s).over(order)).otherwise(F.first(s).over(order))
         w = w.withColumn(name, (s - F.greatest(F.coalesce(other, floor), floor)) / ident)
-    return w.where("pick = 1").withColumn("weight", F.least(F.col("own") / ident, F.lit(2.0)))
+    return w.withColumn("weight", F.least(F.col("own") / ident, F.lit(2.0)))
 
 
 def match(detail: DataFrame, pubs: DataFrame, floor: float = FLOOR, confidence: float = 0.6, labelled: int = LABELLED) -> DataFrame:
@@ -511,83 +529,76 @@ def match(detail: DataFrame, pubs: DataFrame, floor: float = FLOOR, confidence:
     the publications of the greatest share; one that comes behind a publication nearer to another paper isn't the
     paper's. Empty tables give no rows. Null titles, years and identifiers are absent evidence.
     """
-    docs = papers(detail)
-    rows = publications(pubs)
-    same = F.xxhash64(F.coalesce("words", F.array().cast("array<string>")), F.coalesce("year", F.lit(-1)), F.coalesce("dblp", F.lit("")), F.coalesce("doi_k", F.lit("")))
-    docs, rows = cut(docs), cut(rows.withColumn("q", same))
-    titles = _titles(docs, "td")
+    def slim(df: DataFrame, key: str) -> DataFrame:  # identifiers are compared by their hashes
+        ids = {c: F.when(F.col(c).isNotNull(), F.xxhash64(c)) for c in ("doi_k", "dblp")}
+        return df.withColumns({**ids, key: _hash(F.col("words"), 0)})
+
+    docs, titles = _titles(cut(slim(papers(detail), "td")), "td")
+    rows, asked = _titles(cut(slim(publications(pubs), "tq")), "tq")
+    rows = rows.withColumn("q", F.xxhash64(*(F.coalesce(c, F.lit(-1)) for c in ("tq", "year", "dblp", "doi_k"))))
     vocab = cut(vocabulary(titles))
-    asked = _titles(rows, "tq")
     size = titles.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("m")).first()
-    years = docs.where("year is not null").groupBy("year").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn")).first()
+    years = docs.groupBy("year").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum("n").alias("all"), F.sum(F.when(F.col("year").isNotNull(), F.col("n"))).alias("n"), F.sum(F.when(F.col("year").isNotNull(), F.col("n") * F.col("n"))).alias("nn")).first()
     n, mean = float(max(1, size["n"])), float(size["m"] or 1.0)
     ident = math.log(n + 1.0)
     of_year = math.log(1 + years["n"] ** 2 / years["nn"]) if years["n"] else 0.0  # the mean idf of a year
 
     slots = query_slots(asked, vocab, n)
-    docs = cut(docs.join(titles, "words", "left"))
-    queries = rows.groupBy("q").agg(*(F.first(c).alias(c) for c in ("words", "year", "dblp", "doi_k")))
-    queries = cut(queries.join(asked, "words", "left").drop("words"))
-    ident_n = float(docs.count())
-    queries, by_doi = _named(queries, docs, "doi_k", ident_n)
-    queries, by_dblp = _named(queries, docs, "dblp", ident_n)
+    queries = rows.groupBy("q").agg(*(F.first(c).alias(c) for c in ("tq", "year", "dblp", "doi_k")))
+    queries, by_doi = _named(queries, docs, "doi_k", years["all"] or 0.0)
+    queries, by_dblp = _named(queries, docs, "dblp", years["all"] or 0.0)
     queries = cut(queries)
     record = docs.select("paper_id", "td", *(F.col(c).alias(f"d_{c}") for c in ("year", "dblp", "doi_k")))
     told = cut(by_doi.unionByName(by_dblp).distinct().join(record, "paper_id").join(queries, "q"))
 
-    met = candidates(slots, titles, floor).withColumn("found", F.lit(True)).unionByName(told.where("tq is not null and td is not null").select("tq", "td").distinct().withColumn("found", F.lit(False)))
-    met = met.groupBy("tq", "td").agg(F.max("found").alias("found"))
+    met = candidates(slots, titles, floor).unionByName(told.where("tq is not null and td is not null").select("tq", "td")).distinct()
     text = slots.select("tq", "words", F.transform("slots", lambda s: s["weight"]).alias("weights"), F.transform("slots", lambda s: s["known"]).alias("known"))
-    pairs = met.join(titles.withColumnRenamed("words", "d_words"), "td").join(text, "tq")
-    aligned = cut(_aligned(pairs, mean))
+    aligned = cut(_aligned(met.join(titles.withColumnRenamed("words", "d_words"), "td").join(text, "tq"), mean))
     good = aligned.where(F.col("share") >= floor - 1e-9)
 
     # papers of one title and year tie: two of them say so
     group = docs.where("td is not null").groupBy("td", F.col("year").alias("d_year")).agg(F.min(F.struct("paper_id", "dblp", "doi_k")).alias("a"), F.max(F.struct("paper_id", "dblp", "doi_k")).alias("b"))
     group = group.select("td", "d_year", F.explode(F.array_distinct(F.array("a", "b"))).alias("x")).select("td", "d_year", "x.paper_id", F.col("x.dblp").alias("d_dblp"), F.col("x.doi_k").alias("d_doi_k"))
     option = good.join(queries, "tq").join(group, "td")
-    cols = ["q", "paper_id", "year", "d_year", "dblp", "d_dblp", "doi_k", "d_doi_k", "w_dblp", "w_doi_k", "score", "own", "share", "missing", "spare"]
     by_name = told.join(aligned, ["tq", "td"], "left").fillna(0.0, ["score", "share", "missing", "spare"])
     whole = slots.select("tq", F.aggregate("slots", F.lit(0.0), lambda acc, s: acc + s["weight"]).alias("whole"))
     by_name = by_name.join(whole, "tq", "left").withColumn("own", F.coalesce("own", "whole", F.lit(ident)))
-    every = option.select(*cols).unionByName(by_name.select(*cols)).dropDuplicates(["q", "paper_id"])
-    gap_years = F.when(F.col("year").isNotNull() & F.col("d_year").isNotNull(), F.least(F.abs(F.col("year") - F.col("d_year")), F.lit(9))).cast("double")
-    every = every.withColumn("years", F.coalesce(gap_years, F.lit(0.0))).withColumn("year_known", gap_years.isNotNull().cast("double"))
-    for c in ("doi_k", "dblp"):
-        agree = F.col(c) == F.col(f"d_{c}")
-        every = every.withColumn(f"by_{c}", F.coalesce(agree.cast("int"), F.lit(0))).withColumn(f"of_{c}", F.when(agree, F.coalesce(f"w_{c}", F.lit(0.0))).otherwise(F.lit(0.0)))
-    every = every.withColumn("n_ids", F.col("by_doi_k") + F.col("by_dblp")).withColumn("of_ids", F.col("of_doi_k") + F.col("of_dblp"))
-    every = cut(every.withColumn("of_year", F.when(gap_years == 0, F.lit(of_year)).otherwise(F.lit(0.0))))
-
-    w, of_id = _calibrated(every, ident, floor, labelled)
-    best = _ranked(every, F.col("score") + F.col("of_year") + F.col("of_ids"), ident, floor)
-    z = sum((F.lit(float(a)) * F.col(c) for a, c in zip(w, FEATURES)), F.lit(float(w[-1]))) + of_id * F.col("n_ids")
-    best = cut(best.select("q", "paper_id", (1 / (1 + F.exp(-z))).alias("confidence")))
+
+    def option_of(df: DataFrame) -> DataFrame:
+        """What an option's place and confidence depend on."""
+        gap = F.when(F.col("year").isNotNull() & F.col("d_year").isNotNull(), F.least(F.abs(F.col("year") - F.col("d_year")), F.lit(9))).cast("double")
+        same = {c: F.when(F.col(c).isNotNull() & F.col(f"d_{c}").isNotNull(), F.col(c) == F.col(f"d_{c}")) for c in ("doi_k", "dblp")}
+        of = sum((F.when(same[c], F.coalesce(f"w_{c}", F.lit(0.0))).otherwise(F.lit(0.0)) for c in same), F.lit(0.0))
+        year = F.when(gap == 0, F.lit(of_year)).otherwise(F.lit(0.0))
+        return df.select(
+            "q", "paper_id", *(F.col(c).cast("double").alias(c) for c in ("score", "own", "share", "missing", "spare")), F.coalesce(gap, F.lit(0.0)).alias("years"), gap.isNotNull().cast("double").alias("year_known"),
+            same["doi_k"].cast("int").alias("same_doi"), same["dblp"].cast("int").alias("same_dblp"), of.alias("of_ids"), year.alias("of_year"),
+        )
+
+    every = option_of(option).unionByName(option_of(by_name)).repartition("q").dropDuplicates(["q", "paper_id"])
+    every = cut(_ranked(every, ident, floor))
+    w, of_id = _calibrated(every, labelled)
+    z = sum((F.lit(float(a)) * F.col(c) for a, c in zip(w, FEATURES)), F.lit(float(w[-1]))) + of_id * (F.coalesce("same_doi", F.lit(0)) + F.coalesce("same_dblp", F.lit(0)))
     # mutual: among all options of the paper, none that is nearer to another paper comes before this publication
     near_to = F.least(F.lit(1.0), F.col("share") + F.col("of_ids") / F.greatest("own", F.lit(1e-9)))
-    all_ = every.select("q", "paper_id", near_to.alias("share")).join(best.select("q", F.col("paper_id").alias("to"), "confidence"), "q")
-    mine = all_.where("paper_id = to")
-    other = all_.where("paper_id <> to").groupBy("paper_id").agg(F.max("share").alias("other"))
-    kept = mine.join(other, "paper_id", "left").where((F.col("other").isNull() | (F.col("share") >= F.col("other"))) & (F.col("confidence") >= confidence))
+    mine = every.where("pick = 1").select("q", "paper_id", near_to.alias("near"), (1 / (1 + F.exp(-z))).alias("confidence")).where(F.col("confidence") >= confidence)
+    other = every.where("pick > 1").groupBy("paper_id").agg(F.max(near_to).alias("other"))
+    kept = mine.join(other, "paper_id", "left").where(F.col("other").isNull() | (F.col("near") >= F.col("other")))
     return skew_join(rows.select("q", "element_id"), kept.select("q", "paper_id", "confidence"), "q", "inner", unique=True).select("paper_id", "element_id", "confidence")
 
 
-def _calibrated(every: DataFrame, ident: float, floor: float, labelled: int) -> tuple[np.ndarray, float]:
+def _calibrated(every: DataFrame, labelled: int) -> tuple[np.ndarray, float]:
     """The logistic's weights, and what each identifier that names the paper adds to it.
 
     The weights are fitted on what words and year say of at most ``labelled`` queries, in hash order, each labelled by
     whether an identifier of its first option agrees (all those that both sides have differ: it is another work). An
     identifier's part are the log odds that it is right, from how often the two of a query name one paper.
     """
-    def same(c: str) -> Column:
-        return F.when(F.col(c).isNotNull() & F.col(f"d_{c}").isNotNull(), (F.col(c) == F.col(f"d_{c}")).cast("double"))
-
-    first = _ranked(every, F.col("score") + F.col("of_year"), ident, floor)
-    seen = first.withColumn("label", F.greatest(same("doi_k"), same("dblp"))).where("label is not null")
+    seen = every.where("pick_t = 1").withColumn("label", F.greatest("same_doi", "same_dblp").cast("double")).where("label is not null")
     sample = seen.orderBy(F.xxhash64("q"), "q").limit(labelled).select(*FEATURES, "label").collect()
     x = np.array([[r[c] for c in FEATURES] for r in sample], float).reshape(-1, len(FEATURES))
-    told = every.groupBy("q").agg(F.max("by_doi_k").alias("a"), F.max("by_dblp").alias("b"), F.max(F.col("by_doi_k") * F.col("by_dblp")).alias("ab")).where("a > 0 and b > 0")
-    agree = told.agg(F.sum("ab").alias("yes"), F.count(F.lit(1)).alias("n")).first()
+    told = every.groupBy("q").agg(F.max("same_doi").alias("a"), F.max("same_dblp").alias("b"), F.max(F.col("same_doi") * F.col("same_dblp")).alias("ab")).where("a > 0 and b > 0")
+    agree = told.agg(F.sum(F.coalesce("ab", F.lit(0))).alias("yes"), F.count(F.lit(1)).alias("n")).first()
     yes, n = agree["yes"] or 0, agree["n"]
     if len({r["label"] for r in sample}) < 2:  # nothing to learn from: all of the title's weight and a lead, or an identifier
         return np.array([2.0, 2.0, 1.0, 8.0, -1.0, 0.0, -0.5, 0.0, -9.0]), 12.0
