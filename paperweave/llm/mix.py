@@ -93,7 +93,7 @@ def mix(
     goal = F.lit(end) * F.col("target_share") * (1 + 1e-12)
     passed = cut(
         place.withColumn("within", within)
-        .join(before.select("source", "bucket", F.coalesce("base", F.lit(0)).alias("base")), ["source", "bucket"])  # partitioned so already
+        .join(before.select("source", "bucket", F.coalesce("base", F.lit(0)).alias("base")).hint("merge"), ["source", "bucket"])  # partitioned so already
         .join(F.broadcast(plan.where("target_share > 0 and max_repeats > 0").select("source", "target_share", "max_repeats", "tokens")), "source")
         .withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.greatest(passes, F.lit(1)) - 1)))
         .withColumn("so_far", F.col("repeat_no") * F.col("tokens") + F.col("base") + F.col("within"))

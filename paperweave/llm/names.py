@@ -254,7 +254,7 @@ def spelling_stars(spellings: DataFrame, rows: int, least: float, ratio: int = 2
                     out[2].append(xxhash.xxh64_intdigest(row.tobytes(), k) >> 1)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["word", "n", "band"])
 
-    sig = spellings.select("word", F.col("n").cast("bigint").alias("n")).where(F.length("word").between(4, 200)).mapInArrow(run, kind)
+    sig = spellings.select("word", F.col("n").cast("bigint").alias("n")).where(F.length("word") >= SHORTEST - 1).mapInArrow(run, kind)
     sig = cut(sig)
     rare = sig.select("word", "n", "band")
     # in a bucket, spellings of the same frequency can't attach to each other
@@ -383,24 +383,35 @@ def link_names(profiles: DataFrame, short_forms: DataFrame) -> DataFrame:
 
 
 def _evidence_stars(rows: DataFrame, key: list[str]) -> DataFrame:
-    """``rows`` with ``star``: profiles of one key that share an institution or number, directly or over others.
+    """``rows`` with ``star``: star clustering of the profiles of one key over shared institutions or numbers.
 
-    Labels spread over (key, evidence) until none changes; a person's records share an institution, so that is two or
-    three rounds.
+    A profile is a star if none that shares evidence with it has more evidence (then more records, then the lesser id);
+    all others go to the greatest star they share evidence with. Who shares none with a star, only with a profile that
+    went to one, stays for the next round, with the rest of its kind; so a chain of institutions isn't followed. Per
+    key and evidence only the greatest profile is looked at: aggregates combined map-side, no pairs.
     """
     proof = F.array_union(F.coalesce("places", F.array().cast("array<string>")), F.when(F.col("number").isNotNull(), F.array("number")).otherwise(F.array().cast("array<string>")))
     if "only" in rows.columns:  # one person's name: it is evidence itself
         proof = F.when(F.col("only"), F.array_union(proof, F.array(F.lit("=")))).otherwise(proof)
     rows = cut(rows.withColumn("proof", proof))
-    edge = cut(rows.select("profile", F.explode("proof").alias("e"), *key).select("profile", F.xxhash64("e", *key).alias("k")))
-    label = rows.select("profile", F.col("profile").alias("star"))
+    weight = F.struct(F.size("proof").alias("p"), F.col("n").alias("n"), (-F.col("profile")).alias("i"))
+    rest = cut(rows.select("profile", weight.alias("w"), F.explode("proof").alias("e"), *key).select("profile", "w", F.xxhash64("e", *key).alias("k")))
+    found: list[DataFrame] = []
     while True:
-        at = edge.join(label, "profile")
-        low = at.groupBy("k").agg(F.min("star").alias("low"))
-        label = cut(at.join(low, "k").groupBy("profile").agg(F.min("low").alias("star"), F.min("star").alias("was")))
-        if not label.where("star <> was").limit(1).count():
-            return rows.drop("proof").join(label.drop("was"), "profile")
-        label = label.drop("was")
+        head = rest.groupBy("k").agg(F.max(F.struct("w", "profile")).alias("h"))
+        own = rest.join(head, "k").groupBy("profile").agg(F.max("h").alias("h"))
+        stars = cut(own.where("h.profile = profile").select("profile"))
+        lead = rest.join(stars, "profile").groupBy("k").agg(F.max(F.struct("w", "profile")).alias("h"))
+        got = cut(rest.join(lead, "k").groupBy("profile").agg(F.max("h").alias("h")).select("profile", F.col("h.profile").alias("star")))
+        found.append(got)
+        left = cut(rest.join(got.select("profile"), "profile", "left_anti"))
+        if not left.limit(1).count():
+            break
+        rest = left
+    star = found[0]
+    for f in found[1:]:
+        star = star.unionByName(f)
+    return rows.drop("proof").join(star, "profile")
 
 
 def _join_only(loose: DataFrame, seeds: DataFrame, key: list[str]) -> DataFrame:
