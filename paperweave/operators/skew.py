@@ -17,7 +17,8 @@ from ..session import cut
 
 
 def sketch_candidates(df: DataFrame, key: Column, share: float) -> DataFrame:
-    """Column ``key``: a superset of the keys holding at least ``share`` of the rows of ``df``, at most ``3/share``.
+    """``key``, ``n``, ``n_total``: a superset of the keys holding at least ``share`` of the rows of ``df``, at most ``3/share``,
+    with about how many rows each has, and how many rows have a key.
 
     A frequent-items sketch tracking m items errs by at most 3.5/m of all rows; with m >= 14/share the error is a quarter
     of ``share``, so every such key is in it and none with less than half of it can crowd one out of the first
@@ -28,8 +29,8 @@ def sketch_candidates(df: DataFrame, key: Column, share: float) -> DataFrame:
         raise ValueError("share must be in (0, 1]")
     k = math.ceil(3 / share)
     m = 1 << max(6, math.ceil(math.log2(max(14 / share, 2 * k))))
-    top = df.select(key.alias("_k")).where(F.col("_k").isNotNull()).agg(F.expr(f"approx_top_k(_k, {k}, {m})").alias("_t"))
-    return top.select(F.explode("_t").alias("_e")).select(F.col("_e.item").alias("key"))
+    top = df.select(key.alias("_k")).where(F.col("_k").isNotNull()).agg(F.expr(f"approx_top_k(_k, {k}, {m})").alias("_t"), F.count(F.lit(1)).alias("n_total"))
+    return top.select(F.explode("_t").alias("_e"), "n_total").select(F.col("_e.item").alias("key"), F.col("_e.count").alias("n"), "n_total")
 
 
 def parted(df: DataFrame, key: str, share: float) -> tuple[DataFrame, DataFrame]:
@@ -52,7 +53,7 @@ def count_per_key(df: DataFrame, key: str, share: float) -> DataFrame:
     too; ties at the threshold are heavy. An empty table gives no rows. Where only heavy keys are asked for, the other
     part is never computed.
     """
-    cand = cut(sketch_candidates(df, F.col(key), share).withColumnRenamed("key", key))
+    cand = cut(sketch_candidates(df, F.col(key), share).select(F.col("key").alias(key)))
     count = F.count(F.lit(1)).alias("n_rows")
     known = df.join(F.broadcast(cand.withColumn("_c", F.lit(1))), key, "left")
     # a row per candidate and one (null) for all the rest, few enough for one window: the total is their sum
@@ -83,8 +84,8 @@ def skew_join(
 
     ``heavy`` (column ``on``): the heavy keys of ``big``, which must come out the same each time; found by
     ``sketch_candidates`` and written down if not given, so at most ``3/share``. ``unique``: ``small`` has one row per key; its heavy rows are then at most that many and broadcast.
-    Otherwise the heavy rows of ``big`` get a salt and those of ``small`` are repeated per salt, so that any number of
-    rows on either side is spread over ``salts`` tasks per key. All other keys hold less than ``share`` of the rows and
+    Otherwise the heavy rows of ``big`` get a salt and those of ``small`` are repeated per salt, so that a key's rows are
+    spread over as many tasks as it has times ``share`` of all rows (``salts`` if the heavy keys are given). All other keys hold less than ``share`` of the rows and
     go through one ordinary shuffle join. Null keys match nothing (a left join keeps their rows). A column of ``small``
     named like one of ``big`` comes out with ``_small`` behind its name. Empty sides give what the join gives.
     """
@@ -95,18 +96,21 @@ def skew_join(
     tag = f"_h{uuid.uuid4().hex[:8]}"
     if heavy is None:
         # both branches must see the same keys, and a sketch may come out differently when it is computed again
-        heavy = cut(sketch_candidates(big, F.col(on), share).withColumnRenamed("key", on))
-    heavy = heavy.select(on).distinct().withColumn(tag, F.lit(True))
+        found = sketch_candidates(big, F.col(on), share)
+        parts = F.ceil(F.col("n") / F.greatest(F.lit(1.0), F.col("n_total") * share)).cast("int")
+        heavy = cut(found.select(F.col("key").alias(on), F.greatest(parts, F.lit(1)).alias(tag)))
+    else:
+        heavy = heavy.select(on).distinct().withColumn(tag, F.lit(salts))
     marked = big.join(F.broadcast(heavy), on, "left")
     light = marked.where(F.col(tag).isNull()).drop(tag).join(small, on, how)
-    hot_small = small.join(F.broadcast(heavy.select(on)), on, "left_semi")
-    hot_big = marked.where(F.col(tag).isNotNull()).drop(tag)
+    hot_big = marked.where(F.col(tag).isNotNull())
     if unique:
-        hot = hot_big.join(F.broadcast(hot_small), on, how)
+        hot_small = small.join(F.broadcast(heavy.select(on)), on, "left_semi")
+        hot = hot_big.drop(tag).join(F.broadcast(hot_small), on, how)
     else:
         s = f"_s{tag}"
-        spread = hot_big.withColumn(s, F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if c != on] or [F.col(on)]), F.lit(salts)).cast("int"))
-        copies = hot_small.withColumn(s, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        spread = hot_big.withColumn(s, F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if c != on] or [F.col(on)]), F.col(tag)).cast("int")).drop(tag)
+        copies = small.join(F.broadcast(heavy), on).withColumn(s, F.explode(F.sequence(F.lit(0), F.col(tag) - 1))).drop(tag)
         hot = spread.join(copies, [on, s], how).drop(s)
     return light.unionByName(hot)
 
