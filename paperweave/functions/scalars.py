@@ -37,10 +37,16 @@ def doi_norm(c: Column) -> Column:
     return F.regexp_replace(rest, r"^/+", "")
 
 
+#: Other ways to write a whole date, tried in this order where it isn't ISO.
+DATE_FORMATS = ("yyyy/M/d", "yyyyMMdd", "M/d/yyyy", "d.M.yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy-MM-dd'T'HH:mm:ss")
+
+
 def pub_date(c: Column) -> Column:
-    """ISO dates; a bare year or year and month is its first day; anything else is null."""
-    d = F.when(c.rlike(r"^\d{4}$"), F.concat(c, F.lit("-01-01"))).when(c.rlike(r"^\d{4}-\d{2}$"), F.concat(c, F.lit("-01"))).when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c)
-    return d.try_cast("date")
+    """A date, written as ISO or otherwise (``DATE_FORMATS``); a bare year or year and month is its first day. Anything else
+    is null; nothing is filled in from the present day."""
+    iso = F.when(c.rlike(r"^\d{4}$"), F.concat(c, F.lit("-01-01"))).when(c.rlike(r"^\d{4}-\d{2}$"), F.concat(c, F.lit("-01"))).when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c)
+    tried = [F.try_to_timestamp(F.trim(c), F.lit(f)).cast("date") for f in DATE_FORMATS]
+    return F.when(iso.isNotNull(), iso.try_cast("date")).when(c.rlike(r"\d{4}"), F.coalesce(*tried))
 
 
 def doi_alias(c: Column) -> Column:

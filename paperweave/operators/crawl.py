@@ -183,9 +183,11 @@ def _shown(source: CitationSource, write: Callable[[Column, Column], Column] | N
 def discovered_records(result: CrawlResult, source: CitationSource, keep: Callable[[Column, Column], Column]) -> DataFrame:
     """One record per discovered paper: its detail, else the one of the observation made first.
 
-    First means: at the least depth of the asking paper, references before citations, then the least asking id.
+    First means: at the least depth of the asking paper, references before citations, then the least asking id. Further
+    columns that all the source's tables have come along.
     """
-    cols = ["year", "title"]
+    more = [c for c in source.detail.columns if c not in ("paper_id", "year", "title", "depth", "expanded", "parent", "rank") and c in source.reference_obs.columns and c in source.citation_obs.columns]
+    cols = ["year", "title", *more]
     d = source.detail.select(lower_id(F.col("paper_id")).alias("paper_id"), *cols).withColumn("rank", F.struct(F.lit(0).alias("kind"), F.lit(0).alias("depth"), F.lit(0).alias("side"), F.lit("").alias("parent")))
     depth = result.discovered.select(F.col("paper_id").alias("parent"), "depth")
     parts = [d]
@@ -195,7 +197,7 @@ def discovered_records(result: CrawlResult, source: CitationSource, keep: Callab
         parts.append(o.select("paper_id", *cols, "rank"))
     every = parts[0].unionByName(parts[1]).unionByName(parts[2])
     best = every.groupBy("paper_id").agg(F.min_by(F.struct(*cols), F.struct("rank", *cols)).alias("r"))
-    return result.discovered.join(best, "paper_id", "left").select("paper_id", "depth", "expanded", "r.year", "r.title")
+    return result.discovered.join(best, "paper_id", "left").select("paper_id", "depth", "expanded", *(f"r.{c}" for c in cols))
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

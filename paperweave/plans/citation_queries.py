@@ -64,7 +64,8 @@ def _sql_doi(c: str = "doi") -> str:
 
 _SQL_DATE = """case when regexp_full_match({c}, '[0-9]{{4}}') then try_cast({c} || '-01-01' as date)
  when regexp_full_match({c}, '[0-9]{{4}}-[0-9]{{2}}') then try_cast({c} || '-01' as date)
- when regexp_full_match({c}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then try_cast({c} as date) end"""
+ when regexp_full_match({c}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then try_cast({c} as date)
+ when regexp_matches({c}, '[0-9]{{4}}') then cast(try_strptime(trim({c}), ['%Y/%-m/%-d', '%Y%m%d', '%-m/%-d/%Y', '%-d.%-m.%Y', '%b %-d, %Y', '%B %-d, %Y', '%-d %b %Y', '%-d %B %Y', '%Y-%m-%dT%H:%M:%S']) as date) end"""
 
 
 @query(f"select element_id, {_sql_hash()} as hash from publication")

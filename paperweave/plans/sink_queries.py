@@ -11,7 +11,7 @@ from ..operators import crawl as C
 from ..operators import graphstore as G
 from ..operators.predicates import crawl_predicate
 from ..session import cut, scratch
-from ..sinks.graph_json import json_lines, paper_nodes
+from ..sinks.graph_json import json_lines, merge_nodes, paper_nodes
 from ..sinks.property_graph import PropertyGraph
 from ..sources import documents as D
 from ..sources import seeds as S
@@ -153,6 +153,17 @@ def json_graph_document(spark: SparkSession, root: str) -> DataFrame:
     return lines.where("part in (1, 3)").select(F.when(F.col("part") == 3, "edge").otherwise("node").alias("kind"), a.alias("a"), b.alias("b"))
 
 
+@query(Q._SQL["paper_node_projection"])
+def nodes_merged(spark: SparkSession, root: str) -> DataFrame:
+    """Nodes that knew the DBLP key and no more, merged with nodes that know all else, read back."""
+    papers = Q._latest(spark, root)
+    none = F.lit(None)
+    old = paper_nodes(papers.withColumns({"year": none.cast("int"), **{c: none.cast("string") for c in ("title", "pub_date_raw", "abstract", "doi_raw")}}))
+    new = paper_nodes(papers.withColumn("dblp_key", none.cast("string")))
+    back = F.from_json("node", "dblp_key string, title string, title_hash string, year int, date string, doi string")
+    return merge_nodes(old, new).select("paper_id", back.alias("n")).select("paper_id", "n.*")
+
+
 # ---- the cache
 
 @query(f"with {Q._SQL_USABLE} select distinct key_id as author_id, lower(item->>'$.paperId') as paper_id from items where endpoint = 'author_papers' and item->>'$.paperId' <> '' and pos < 2")

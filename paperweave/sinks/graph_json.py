@@ -33,6 +33,17 @@ def paper_nodes(papers: DataFrame, observed: DataFrame | None = None) -> DataFra
     return out.select("paper_id", F.to_json(node).alias("node"))
 
 
+def merge_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``paper_id``, ``node``: nodes of both, a node of both with all fields of either; where both have one, the new one's.
+
+    One row per paper on each side. A node that isn't a JSON object counts as empty.
+    """
+    kind = "map<string,variant>"
+    fields = lambda c: F.coalesce(F.from_json(c, kind), F.from_json(F.lit("{}"), kind))
+    both = old.select("paper_id", F.col("node").alias("_o")).join(new.select("paper_id", F.col("node").alias("_n")), "paper_id", "full")
+    return both.select("paper_id", F.to_json(F.map_zip_with(fields("_o"), fields("_n"), lambda k, a, b: F.coalesce(b, a))).alias("node"))
+
+
 def json_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: the whole graph as ``{"nodes": {id: paper}, "edges": [[citing, cited]]}``, in the order of ids.
 

@@ -131,3 +131,12 @@ def test_property_graph_by_levels(spark, tmp_path):
     back = PropertyGraph(spark, str(tmp_path / "r"), papers, reverse=True)
     back.write_level(0, papers.select("paper_id"), refs)
     assert ("title1", "title0") in rows(back.table("cite"))
+
+
+def test_nodes_merge(spark):
+    from paperweave.sinks.graph_json import merge_nodes
+
+    old = spark.createDataFrame([("a", '{"x":1,"l":[{"y":"z"}],"t":"old"}'), ("b", '{"x":2}'), ("c", "broken")], "paper_id string, node string")
+    new = spark.createDataFrame([("a", '{"t":"new","n":null}'), ("c", '{"x":3}'), ("d", None)], "paper_id string, node string")
+    got = {r.paper_id: json.loads(r.node) for r in merge_nodes(old, new).collect()}
+    assert got == {"a": {"x": 1, "l": [{"y": "z"}], "t": "new", "n": None}, "b": {"x": 2}, "c": {"x": 3}, "d": {}}

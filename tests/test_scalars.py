@@ -49,6 +49,8 @@ def test_doi_norm_is_the_url_path(spark, dois):
 def test_dates_ids_and_casts(spark):
     got = apply(spark, X.pub_date, ["2020-02-03", "2020-02", "2020", "2020-13-01", "n.d.", "", None])
     assert [str(g) if g else None for g in got] == ["2020-02-03", "2020-02-01", "2020-01-01", None, None, None, None]
+    got = apply(spark, X.pub_date, ["Jan 5, 2020", "5 January 2020", "2020/1/5", "1/5/2020", "20200105", " 5.1.2020 ", "2020-01-05T10:00:00", "Spring 2020", "31/12/99"])
+    assert [str(g) if g else None for g in got] == ["2020-01-05"] * 7 + [None] * 2
     assert apply(spark, X.lower_id, ["AB", "", None]) == ["ab", None, None]
     assert apply(spark, X.cache_path, ["DOI:10.1/x", None]) == ["DOI/10.1/x.json", None]
     assert apply(spark, X.doi_alias, ["https://doi.org/10.1/x", None]) == ["DOI:10.1/x", None]
