@@ -15,6 +15,8 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache, reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -244,7 +246,7 @@ def _word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_M1, _M2, _ALL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), (1 << 64) - 1
 
 
 def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -253,6 +255,12 @@ def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return ((np.minimum(a, b) * _M1) ^ (np.maximum(a, b) * _M2 + _M1)).view(np.int64)
 
 
+def _key_of(a: int, b: int) -> int:
+    """``_pair_key`` of two single words."""
+    x = ((min(a, b) * int(_M1)) ^ (max(a, b) * int(_M2) + int(_M1))) & _ALL
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _bits(h: int) -> tuple[int, int]:
     """A word's bit among 128, as two longs."""
     b = (h >> 32) & 127
@@ -261,14 +269,6 @@ def _bits(h: int) -> tuple[int, int]:
     return (x, 0) if b < 64 else (0, x)
 
 
-def _or_bits(words: list[str]) -> tuple[int, int]:
-    x = y = 0
-    for w in words:
-        a, b = _bits(_word_hash(w))
-        x, y = x | a, y | b
-    return x, y
-
-
 def postings(titles: DataFrame) -> DataFrame:
     """``k``, ``td``, ``sx``, ``sy``: each title under each of its words and each pair of them, with the bits of all its words.
 
@@ -346,18 +346,20 @@ def _query_keys(slots: DataFrame, floor: float) -> DataFrame:
     types = [pa.int64(), pa.float64(), pa.list_(pa.float32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hash_of = lru_cache(maxsize=200_000)(_word_hash)
         for b in batches:
             rows: list[tuple] = []
             for tq, slots in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found, goal = lookups(slots, floor)
                 if not found:
                     continue
-                pairs = [(_word_hash(k[0]), _word_hash(k[-1])) for k in found]
-                one = np.array(sorted({h for p in pairs for h in p}), np.uint64)
-                a, z = np.array(pairs, np.uint64).T
-                ks = np.unique(np.concatenate([_pair_key(a, z), _pair_key(one, ~one)]))
+                pairs = {(hash_of(k[0]), hash_of(k[-1])) for k in found}
+                ks = list({_key_of(a, z) for a, z in pairs} | {_key_of(h, h ^ _ALL) for p in pairs for h in p})
                 heavy = sorted((s for s in slots if s["alts"] and s["weight"] > 0), key=lambda s: -s["weight"])
-                bits = [_or_bits(s["alts"]) for s in heavy[:TERMS]]
+                bits = []
+                for s in heavy[:TERMS]:
+                    each = [_bits(hash_of(w)) for w in s["alts"]]
+                    bits.append((reduce(or_, (x for x, _ in each)), reduce(or_, (y for _, y in each))))
                 # the lightest words beyond TERMS count as there; rounding to single precision is allowed for
                 goal -= sum(s["weight"] for s in heavy[TERMS:]) + 1e-4
                 rows.append((tq, goal, [s["weight"] for s in heavy[:TERMS]], [x for x, _ in bits], [y for _, y in bits], ks))
@@ -487,16 +489,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return w
 
 
-def _named(queries: DataFrame, docs: DataFrame, column: str, n: float) -> tuple[DataFrame, DataFrame]:
-    """``queries`` with ``w_<column>``, the idf of their identifier (null if no paper has it), and ``q``, ``paper_id``: the
-    papers that have it. Of papers alike in identifier and year two are enough (they tie)."""
-    has = docs.where(F.col(column).isNotNull())
-    of_year = cut(has.groupBy(column, "year").agg(F.min("paper_id").alias("a"), F.max("paper_id").alias("b"), F.count(F.lit(1)).alias("n")))
-    df = of_year.groupBy(column).agg(F.sum("n").alias("n"))
-    idf = F.log((F.lit(n) - F.least("n", F.lit(n)) + 0.5) / (F.least("n", F.lit(n)) + 0.5) + 1)
-    asked = skew_join(queries, df.select(column, idf.alias(f"w_{column}")), column, "left", unique=True)
-    reps = of_year.select(column, F.explode(F.array_distinct(F.array("a", "b"))).alias("paper_id"))
-    return asked, skew_join(queries.where(F.col(column).isNotNull()).select(column, "q"), reps, column, "inner").select("q", "paper_id")
+def _named(queries: DataFrame, docs: DataFrame, column: str, n: float) -> DataFrame:
+    """``queries`` with ``w_<column>``, the idf of their identifier (null if no paper has it), and ``p_<column>``, the papers
+    that have it. Of papers alike in identifier and year two are enough (they tie), so there are two a year at most."""
+    of_year = docs.where(F.col(column).isNotNull()).groupBy(column, "year").agg(F.min("paper_id").alias("a"), F.max("paper_id").alias("b"), F.count(F.lit(1)).alias("n"))
+    per = of_year.groupBy(column).agg(F.least(F.sum("n"), F.lit(n)).alias("n"), F.array_distinct(F.flatten(F.collect_list(F.array("a", "b")))).alias(f"p_{column}"))
+    idf = F.log((F.lit(n) - F.col("n") + 0.5) / (F.col("n") + 0.5) + 1)
+    return skew_join(queries, per.select(column, idf.alias(f"w_{column}"), f"p_{column}"), column, "left", unique=True)
 
 
 def _ranked(options: DataFrame, ident: float, least: float) -> DataFrame:
@@ -545,11 +544,11 @@ def match(detail: DataFrame, pubs: DataFrame, floor: float = FLOOR, confidence:
 
     slots = query_slots(asked, vocab, n)
     queries = rows.groupBy("q").agg(*(F.first(c).alias(c) for c in ("tq", "year", "dblp", "doi_k")))
-    queries, by_doi = _named(queries, docs, "doi_k", years["all"] or 0.0)
-    queries, by_dblp = _named(queries, docs, "dblp", years["all"] or 0.0)
-    queries = cut(queries)
+    queries = cut(_named(_named(queries, docs, "doi_k", years["all"] or 0.0), docs, "dblp", years["all"] or 0.0))
+    named = queries.select("q", F.explode(F.array_distinct(F.concat(*(F.coalesce(f"p_{c}", F.array().cast("array<string>")) for c in ("doi_k", "dblp"))))).alias("paper_id"))
+    queries = queries.drop("p_doi_k", "p_dblp")
     record = docs.select("paper_id", "td", *(F.col(c).alias(f"d_{c}") for c in ("year", "dblp", "doi_k")))
-    told = cut(by_doi.unionByName(by_dblp).distinct().join(record, "paper_id").join(queries, "q"))
+    told = cut(named.join(record, "paper_id").join(queries, "q"))
 
     met = candidates(slots, titles, floor).unionByName(told.where("tq is not null and td is not null").select("tq", "td")).distinct()
     text = slots.select("tq", "words", F.transform("slots", lambda s: s["weight"]).alias("weights"), F.transform("slots", lambda s: s["known"]).alias("known"))

@@ -136,3 +136,13 @@ def test_held_out_names(spark):
     hidden = a.withColumn("dblp_name", F.when(F.pmod(F.xxhash64("author_id"), F.lit(2)) == 1, F.col("dblp_name")))
     full, part = ({tuple(r) for r in name_pairs(link_names(x, forms)).collect()} for x in (a, hidden))
     assert len(full & part) >= 0.95 * len(part) and len(full & part) >= 0.9 * len(full)
+
+
+def test_a_chain_of_institutions_is_not_one_person(spark):
+    """Star clustering: who shares an institution with a star joins it, who shares one only with a member doesn't."""
+    from paperweave.llm.names import _evidence_stars
+
+    rows_ = [(1, ["a"], 5), (2, ["a", "b"], 1), (3, ["b", "c"], 1), (4, ["c"], 9), (5, ["z"], 1), (6, [], 1)]
+    df = spark.createDataFrame([("smithson", "ann", i, p, None, n) for i, p, n in rows_], "family string, given string, profile long, places array<string>, number string, n long")
+    got = {r.profile: r.star for r in _evidence_stars(df, ["family", "given"]).collect()}
+    assert got == {1: 2, 2: 2, 3: 2, 4: 4, 5: 5}

@@ -141,3 +141,24 @@ def test_balanced_shares_on_the_table(spark):
         if r.n_docs and r.source not in ("thesis_chapter", "crawl_log"):  # documents as large as their share
             assert abs(r.actual_share - r.target_share / there) < 0.035
         assert r.most_uses <= r.max_repeats
+
+
+def test_a_later_document_fills_what_a_source_lacks(spark):
+    """No source ends further from its part than the best single document after its last whole one would leave it."""
+    rnd = random.Random(12)
+    docs = [(i, "even", "word " * 10) for i in range(400)] + [(1000 + i, "uneven", "word " * rnd.choice([3, 5, 40, 900])) for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("even", 0.8, 1), ("uneven", 0.2, 1)], "source string, target_share double, max_repeats int")
+    for budget in (900, 2000, 3500):
+        got = mix(df, targets, budget, buckets=8)
+        report = {r.source: r.used_tokens for r in got.report.collect()}
+        goal = got.horizon * 0.2
+        uses = [u for u in got.uses.collect() if u.source == "uneven"]
+        whole = {u.doc_id for u in uses if u.finish < got.horizon}
+        v = vocabulary()
+        size = {i: len(encode(v, t)) for i, s, t in docs if s == "uneven"}
+        base = sum(size[i] for i in whole)
+        off = abs(report["uneven"] - goal)
+        assert len(uses) - len(whole) <= 1
+        assert all(off <= abs(base + n - goal) + 1e-6 for i, n in size.items() if i not in whole) and off <= abs(base - goal) + 1e-6
+        assert abs(report["even"] - got.horizon * 0.8) <= 10
