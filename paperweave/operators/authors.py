@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import any_of, falsy
+from .skew import skew_join
 
 
 def authors_of(papers: DataFrame, endpoint_authors: DataFrame | None = None) -> DataFrame:
@@ -50,7 +51,8 @@ def correlated_persons(papers: DataFrame, observed: DataFrame, person: DataFrame
 
     ``papers``: paper_id, title_hash; ``write``: element_id, title_hash. Result: ``paper_id`` and the person's columns.
     """
-    by_write = papers.select("paper_id", "title_hash").join(write, "title_hash").select("paper_id", "element_id")
+    # the empty hash and those of generic titles can be many papers' and many persons'
+    by_write = skew_join(papers.select("paper_id", "title_hash"), write.select("element_id", "title_hash"), "title_hash").select("paper_id", "element_id")
     by_key = persons_by_key(person, author_keys(observed)).select("paper_id", "element_id")
     return by_write.unionByName(by_key).distinct().join(person, "element_id")
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperweave.operators.compact import consolidate, document_groups, repeated_documents, swap_directory
-from paperweave.operators.skew import attach_first, heavy_keys, sketch_candidates, skew_join, spread_group
+from paperweave.operators.skew import attach_first, count_per_key, heavy_keys, parted, sketch_candidates, skew_join, spread_group
 from tests.conftest import rows
 
 
@@ -61,6 +61,36 @@ def test_attach_first_and_spread(spark):
     assert rows(spread_group(df, "k", "v")) == want
 
 
+def test_counts_of_every_key(spark):
+    df, data = skewed(spark)
+    c = Counter(k for _, k, _ in data if k is not None)
+    got = rows(count_per_key(df, "k", 0.2).select("k", "n_rows", "heavy"))
+    assert got == sorted(((k, n, n >= 0.2 * len(data)) for k, n in c.items()), key=repr)
+    hot, light = parted(df, "k", 0.2)
+    assert hot.count() + light.count() == sum(c.values()) and not hot.select("k").distinct().join(light, "k").count()
+    assert count_per_key(df.limit(0), "k", 0.2).count() == 0
+
+
+def test_skew_join_where_both_sides_repeat_a_hot_key(spark):
+    """The salts follow the key's share; every pair comes out once."""
+    big = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    small = spark.range(9).select((F.col("id") % 3).alias("k"), F.col("id").alias("w"))
+    got = skew_join(big, small, "k", share=0.01)
+    assert rows(got) == rows(big.join(small, "k").select(*got.columns))
+
+
+def test_no_shared_folder_on_a_cluster(monkeypatch):
+    from paperweave import session
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: type("C", (), {"get": lambda self, k, d: None})()
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+    with pytest.raises(ValueError):
+        session.shared_dir(type("Spark", (), {"sparkContext": Context()})())
+
+
 DOCS = [
     (1, "paper", "A", "p1", "x"), (2, "paper", "a", "p2", "x"), (3, "paper", "a", "p3", "y"), (4, "refs", "a", "p4", "x"), (5, "paper", "a", "p5", None), (6, "paper", "a", "p6", None),
     (7, "paper", None, "p7", "x"), (8, "paper", None, "p8", "x"), (9, "paper", "", "p9", "x"), (10, "paper", "a1", "p", ":x"), (11, "paper", "a", "p", "1:x"), (12, None, "a", "p", ""), (13, None, "A", "p", ""),
@@ -88,6 +118,7 @@ def test_consolidate_whole_table(spark, sf, tmp_path):
     assert done.rows_out + done.rows_repeated == done.rows_in == raw.count() and 2 < len(files) < 12
     spans = sorted((f["first"], f["last"]) for f in files)
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert {r.raw_id for r in done.left_out.collect()} == gone and len(gone) > 0
     # again, from the folder itself: nothing more to drop
     again = consolidate(spark.read.parquet(path), path, target_bytes=1 << 20)
     assert again.rows_repeated == 0 and again.rows_out == done.rows_out and again.files.count() == 1
