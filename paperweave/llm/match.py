@@ -131,18 +131,13 @@ def _hash(words: Column, seed: int) -> Column:
     return F.when(F.size(words) > 0, F.xxhash64(F.lit(seed), words))
 
 
-def _titles(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """``df`` with ``key``, the hash of its words (null without words), and ``key``, ``words`` of each different title.
-
-    Should two titles have one hash, all are hashed anew.
-    """
-    for seed in range(100):
-        mine = df if seed == 0 else df.withColumn(key, _hash(F.col("words"), seed))
-        proof = F.xxhash64(F.lit(-1), "words")
-        one = cut(mine.where(F.col(key).isNotNull()).groupBy(key).agg(F.first("words").alias("words"), F.min(proof).alias("a"), F.max(proof).alias("b")))
-        if not one.where("a <> b").limit(1).count():
-            return mine, one.select(key, "words")
-    raise ValueError("no hash keeps the titles apart")
+def _titles(df: DataFrame, key: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``key``, the hash of its words (null without words), and ``key``, ``words``, ``clash`` of each different
+    title; ``clash`` if two titles have one hash, then all must be hashed anew."""
+    mine = df if seed == 0 else df.withColumn(key, _hash(F.col("words"), seed))
+    proof = F.xxhash64(F.lit(-1), "words")
+    one = mine.where(F.col(key).isNotNull()).groupBy(key).agg(F.first("words").alias("words"), (F.min(proof) != F.max(proof)).alias("clash"))
+    return mine, cut(one)
 
 
 def _deletes(word: str) -> Column:
@@ -532,11 +527,17 @@ def match(detail: DataFrame, pubs: DataFrame, floor: float = FLOOR, confidence:
         ids = {c: F.when(F.col(c).isNotNull(), F.xxhash64(c)) for c in ("doi_k", "dblp")}
         return df.withColumns({**ids, key: _hash(F.col("words"), 0)})
 
-    docs, titles = _titles(cut(slim(papers(detail), "td")), "td")
-    rows, asked = _titles(cut(slim(publications(pubs), "tq")), "tq")
+    all_docs, all_rows = cut(slim(papers(detail), "td")), cut(slim(publications(pubs), "tq"))
+    for seed in range(100):
+        docs, titles = _titles(all_docs, "td", seed)
+        rows, asked = _titles(all_rows, "tq", seed)
+        both = titles.select("clash", F.size("words").alias("m")).unionByName(asked.select("clash", F.lit(None).cast("int").alias("m")))
+        size = both.agg(F.count("m").alias("n"), F.avg("m").alias("m"), F.max("clash").alias("clash")).first()
+        if not size["clash"]:
+            break
+    titles, asked = titles.drop("clash"), asked.drop("clash")
     rows = rows.withColumn("q", F.xxhash64(*(F.coalesce(c, F.lit(-1)) for c in ("tq", "year", "dblp", "doi_k"))))
     vocab = cut(vocabulary(titles))
-    size = titles.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("m")).first()
     years = docs.groupBy("year").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum("n").alias("all"), F.sum(F.when(F.col("year").isNotNull(), F.col("n"))).alias("n"), F.sum(F.when(F.col("year").isNotNull(), F.col("n") * F.col("n"))).alias("nn")).first()
     n, mean = float(max(1, size["n"])), float(size["m"] or 1.0)
     ident = math.log(n + 1.0)
