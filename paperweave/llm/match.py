@@ -169,7 +169,8 @@ def corrections(unknown: DataFrame, vocab: DataFrame) -> DataFrame:
         less = F.when(F.length(w) > 5, F.array_distinct(F.flatten(F.transform(_deletes(w), _less_one)))).otherwise(_deletes(w))
         return df.where(F.length(w).between(4, WORD)).withColumn("d", F.explode(F.transform(less, lambda x: F.xxhash64(x))))
 
-    met = keys(unknown.select("word"), "word").join(keys(vocab.select(F.col("word").alias("as_word"), "df"), "as_word"), "d").select("word", "as_word", "df").distinct()
+    # the planner doesn't see how much longer the exploded side is than its table
+    met = keys(unknown.select("word"), "word").join(keys(vocab.select(F.col("word").alias("as_word"), "df"), "as_word").hint("merge"), "d").select("word", "as_word", "df").distinct()
     same_letters = F.array_sort(F.split("word", "")) == F.array_sort(F.split("as_word", ""))
     edits, shorter = F.levenshtein("word", "as_word", 2), F.least(F.length("word"), F.length("as_word"))
     return met.where(edits.between(0, 1) | ((edits == 2) & (same_letters | (shorter > 5))))
@@ -191,11 +192,11 @@ def forms_of(forms: DataFrame, vocab: DataFrame, n: float) -> DataFrame:
     lost = f.where("not known").select("word").distinct()
     fixed = f.where("not known").select("form", "word").join(corrections(lost, vocab), "word").select("form", "as_word", "df", F.lit(1).alias("how"))
     starts = v.where(F.length("as_word") <= WORD).select("as_word", "df", F.explode(F.transform(F.sequence(F.lit(SHORT), F.length("as_word")), lambda i: F.substring("as_word", F.lit(1), i))).alias("word"))
-    starts = starts.where(F.length("word") >= SHORT)
+    starts = starts.where(F.length("word") >= SHORT).hint("merge")
     open_ = f.where((F.col("last") | F.col("dot")) & (F.length("word") >= SHORT))
     begun = open_.select("form", "word").join(starts, "word").select("form", "as_word", "df", F.lit(2).alias("how"))
     plural = f.where(~F.col("known") & F.endswith("word", F.lit("s")) & (F.length("word") > SHORT)).select("form", F.expr("substring(word, 1, length(word) - 1)").alias("word"))
-    plural = plural.join(starts.where(F.endswith("as_word", F.lit("s"))), "word").select("form", "as_word", "df", F.lit(1).alias("how"))
+    plural = plural.join(starts.where(F.endswith("as_word", F.lit("s"))).hint("merge"), "word").select("form", "as_word", "df", F.lit(1).alias("how"))
     w = F.col("word")
     torn = lost.where(F.length("word").between(7, WORD)).select("word", F.explode(F.transform(F.sequence(F.lit(2), F.length("word") - 2), lambda i: F.struct(F.substring(w, F.lit(1), i).alias("as_word"), F.substring(w, i + 1, F.length(w)).alias("rest")))).alias("t"))
     torn = torn.select("word", "t.as_word", "t.rest").join(v, "as_word").join(vocab.select(F.col("word").alias("rest")), "rest", "left_semi")
@@ -371,7 +372,7 @@ def candidates(slots: DataFrame, titles: DataFrame, floor: float) -> DataFrame:
     """
     at = lambda c, i: F.get(F.col(c), F.lit(i))
     bound = sum((F.when(at("mx", i).bitwiseAND(F.col("sx")).bitwiseOR(at("my", i).bitwiseAND(F.col("sy"))) != 0, at("mi", i)).otherwise(F.lit(0.0)) for i in range(TERMS)), F.lit(0.0))
-    met = _query_keys(slots, floor).join(postings(titles), "k").where(bound >= F.col("goal"))
+    met = _query_keys(slots, floor).hint("merge").join(postings(titles).hint("merge"), "k").where(bound >= F.col("goal"))
     return met.select("tq", "td").distinct()
 
 

@@ -259,11 +259,11 @@ def spelling_stars(spellings: DataFrame, rows: int, least: float, ratio: int = 2
     rare = sig.select("word", "n", "band")
     # in a bucket, spellings of the same frequency can't attach to each other
     often = sig.where(F.col("n") >= ratio).select(F.col("word").alias("star"), F.col("n").alias("m"), "band")
-    met = rare.join(often, "band").where(F.col("m") >= ratio * F.col("n")).where(F.abs(F.length("word") - F.length("star")) <= 2).select("word", "star", "m")
+    met = rare.hint("merge").join(often.hint("merge"), "band").where(F.col("m") >= ratio * F.col("n")).where(F.abs(F.length("word") - F.length("star")) <= 2).select("word", "star", "m")
     less = F.when(F.length("word") > 7, F.array_distinct(F.flatten(F.transform(_deletes("word"), _less_one)))).otherwise(_deletes("word"))
     left = spellings.where(F.length("word").between(4, 64)).select("word", F.col("n").cast("bigint").alias("n"), F.explode(less).alias("d"))
     stars = left.where(F.col("n") >= ratio).select(F.col("word").alias("star"), F.col("n").alias("m"), "d")
-    met = met.unionByName(left.join(stars, "d").where(F.col("m") >= ratio * F.col("n")).where(F.levenshtein("word", "star", 4) >= 0).select("word", "star", "m")).distinct()
+    met = met.unionByName(left.hint("merge").join(stars.hint("merge"), "d").where(F.col("m") >= ratio * F.col("n")).where(F.levenshtein("word", "star", 4) >= 0).select("word", "star", "m")).distinct()
     kept = T.StructType([*met.schema.fields, T.StructField("sim", T.DoubleType())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +346,7 @@ def link_names(profiles: DataFrame, short_forms: DataFrame) -> DataFrame:
     told = short_forms.select(F.lower("short_form").alias("s"), F.lower("given_name").alias("g"))
     # the table is incomplete: a short name that longer names begin with may be short for them
     longer = given.where("length(word) > 5 and n > 1").select(F.col("word").alias("g"), F.explode(F.transform(F.sequence(F.lit(3), F.lit(5)), lambda k: F.substring("word", F.lit(1), k))).alias("s"))
-    shorts = cut(told.unionByName(longer.join(given.select(F.col("word").alias("s")), "s").select("s", "g")).where("s <> g").distinct())
+    shorts = cut(told.unionByName(longer.hint("merge").join(given.select(F.col("word").alias("s")), "s").select("s", "g")).where("s <> g").distinct())
     can = shorts.select(F.col("s").alias("given")).distinct().withColumn("is_short", F.lit(True))
     p = profile.join(can, "given", "left").withColumn("is_short", F.coalesce("is_short", F.lit(False)))
     p = cut(p)
