@@ -297,6 +297,22 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", carry:
     return df.select(*keep, text).mapInArrow(run, schema)
 
 
+def decoded(df: DataFrame, key: str = "doc_id", ids: str = "ids", name: str = VOCABULARY, folder: str = TOKENIZER_DIR) -> DataFrame:
+    """``key`` and ``text`` of every row's token ids, decoded a thousand at a time; an empty or null list gives an empty text."""
+    schema = T.StructType([df.schema[key], T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(name, folder)
+        for b in batches:
+            texts = []
+            for x in b.column(1):
+                d, all_ids = StreamDecoder(v), x.as_py() or []
+                texts.append("".join([*(d.feed(all_ids[k : k + 1024]) for k in range(0, len(all_ids), 1024)), d.finish()]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+
+    return df.select(key, ids).mapInArrow(run, schema)
+
+
 def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", name: str = VOCABULARY, folder: str = TOKENIZER_DIR) -> DataFrame:
     """``key``, ``n_tokens`` and ``exact``: whether decoding the ids piece by piece gives the text back."""
     schema = T.StructType([df.schema[key], T.StructField("n_tokens", T.IntegerType()), T.StructField("exact", T.BooleanType())])
